@@ -221,14 +221,16 @@ def q_notable_corr(spark, sf):
     return signals.rounded(rankcorr.notable_correlations(matrix(spark, sf)), 3)
 
 
-@query("pair_features", "select a.f as f1, b.f as f2 from (select unnest([" + quoted(KNOWN_FEATURES)
-       + "]) as f) a join (select unnest([" + quoted(KNOWN_FEATURES) + "]) as f) b on a.f < b.f")
+@query("pair_features", sql(["dataset"], "select a.feature as f1, b.feature as f2, least(a.n, b.n) as n_max from present a "
+       "join present b on a.feature < b.feature", long=long_sql("dataset", FEATS, "symbol"),
+       present="select feature, count(score) as n from long group by 1 having count(score) > 0"))
 def q_pair_features(spark, sf):
-    """Feature pairs f1 < f2 of the features the dataset really has."""
-    columns = [c for c in wh.dataset(spark, sf).columns if c.startswith("feat_")]
-    names = wh.dataset(spark, sf).limit(0).sparkSession.createDataFrame([(sorted(c[5:] for c in columns),)], "all array<string>")
-    at = names.select("all", F.posexplode("all").alias("i", "f1"))
-    return at.select("f1", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("f2"))
+    """Pairs f1 < f2 of the features that hold data, with the most rows they can share."""
+    long = wh.dataset(spark, sf).select(*[F.col(c).alias(f) for f, c in FEATS.items()]).unpivot([], list(FEATS), "feature", "score")
+    present = long.groupBy("feature").agg(F.count("score").alias("n")).where("n > 0")
+    # a self-join of one row per feature column: its size is fixed by the schema
+    a, b = present.toDF("f1", "n1"), present.toDF("f2", "n2")
+    return a.join(F.broadcast(b), F.col("f1") < F.col("f2")).select("f1", "f2", F.least("n1", "n2").alias("n_max"))
 
 
 def _combo_sql() -> str:
