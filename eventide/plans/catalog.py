@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from eventide.plans import q_cleaning, q_signals  # noqa: F401
+from eventide.plans import q_cleaning, q_scoring, q_signals  # noqa: F401
 from eventide.plans.registry import ORACLES, QUERIES  # noqa: F401
