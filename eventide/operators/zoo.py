@@ -195,3 +195,15 @@ def zoo_blend_input(zoo: DataFrame) -> DataFrame:
     return w.groupBy("horizon", F.col("name").alias("feature")).agg(
         F.max(F.when(F.col("model") == "Ridge", F.col("value"))).alias("ridge"),
         F.max(F.when(F.col("model") == "Lasso", F.col("value"))).alias("lasso"))
+
+
+def penalty_path(design: Design, grid: list[float], make) -> DataFrame:
+    """(alpha, r2_cv_mean, r2_cv_std, w_<feature>...) for every penalty of a grid."""
+    blocks = fold_moments(design)
+    whole, rows = sum(blocks), []
+    for alpha in grid:
+        cv = solvers.cross_validate(blocks, make(alpha))
+        w, _ = solvers.weights_and_intercept(whole, make(alpha))
+        rows.append((float(alpha), cv["mean"], cv["std"], *[float(v) for v in w]))
+    names = ", ".join(f"w_{f} double" for f in design.features)
+    return design.rows.sparkSession.createDataFrame(rows, f"alpha double, r2_cv_mean double, r2_cv_std double, {names}")
