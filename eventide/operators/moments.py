@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Above this many products generated code gets too large; partial Gram matrices take over.
-MAX_BUILTIN_PRODUCTS = 250
+# Beyond this many sums, compiling them costs more than partial Gram matrices on Arrow batches.
+MAX_BUILTIN_PRODUCTS = 50
 
 
 def sum_products(

@@ -26,16 +26,24 @@ def _range_stage(df: DataFrame, order: list[str | Column], label: str) -> DataFr
 
 
 def global_positions(df: DataFrame, order: list[str], label: str = "positions") -> DataFrame:
-    """Add ``_pos``: the 0-based place of each row in the total order ``order``."""
-    placed = _range_stage(df, order, label)
+    """Add ``_pos``: the 0-based place of each row in the total order ``order``.
+
+    Rows are range-partitioned, sorted and numbered inside their partition while they are written,
+    so a later pass only adds the partition's offset: a broadcast of one row per partition.
+    """
+    numbered = (
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_id", F.monotonically_increasing_id())
+    )
+    placed = stage(numbered, label).withColumn("_pid", F.shiftright("_id", 33))
     sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    local = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
     return (
         placed.join(F.broadcast(offsets), "_pid")
-        .withColumn(POSITION, (F.col("_off") + local - 1).cast("bigint"))
-        .drop("_pid", "_off")
+        .withColumn(POSITION, F.col("_off") + local)
+        .drop("_pid", "_off", "_id")
     )
 
 

@@ -207,12 +207,12 @@ def feature_summary(rows: DataFrame, features: dict[str, str]) -> DataFrame:
 
 
 def scaler_fit(rows: DataFrame, features: dict[str, str]) -> DataFrame:
-    """(feature, mean, std) with the population deviation, 1.0 where it vanishes."""
-    aggs = [F.struct(F.lit(f).alias("feature"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"))
-            for f, c in features.items()]
+    """(feature, n, mean, std) with the population deviation, 1.0 where it vanishes."""
+    aggs = [F.struct(F.lit(f).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"),
+                     F.stddev_pop(c).alias("std")) for f, c in features.items()]
     std = F.when(F.col("s.std") > 1e-9, F.col("s.std")).otherwise(F.lit(1.0))
     return rows.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("s")).select(
-        "s.feature", "s.mean", std.alias("std")
+        "s.feature", "s.n", "s.mean", std.alias("std")
     )
 
 

@@ -73,9 +73,10 @@ def prepare(
         wide = median_impute(wide.select(*order, *names, "y"), names)
     else:
         wide = wide.dropna(subset=names)
-    ordered = stage(global_positions(wide, order), "ordered")
-    scale = {r["feature"]: (r["mean"], r["std"]) for r in scaler_fit(ordered, {f: f for f in names}).collect()}
-    n = ordered.count()
+    ordered = global_positions(wide, order)
+    fitted = scaler_fit(ordered, {f: f for f in names}).collect()  # one row per feature
+    scale = {r["feature"]: (r["mean"], r["std"]) for r in fitted}
+    n = fitted[0]["n"] if fitted else 0
     k = folds or fold_count(n)
     z = [((F.col(f) - F.lit(scale[f][0])) / F.lit(scale[f][1])).alias(f"z_{f}") for f in names] if n else []
     rows = ordered.select(POSITION, *order, *z, *names, "y", fold_block(F.col(POSITION), n, k).alias("_block"))

@@ -275,7 +275,7 @@ def q_feature_percentiles(spark, sf):
 
 
 @query("scaler_fit", sql(["dataset"], """
-  select feature, round(avg(score), 6) as mean,
+  select feature, count(score) as n, round(avg(score), 6) as mean,
     round(case when stddev_pop(score) > 1e-9 then stddev_pop(score) else 1 end, 6) as std
   from long group by feature""", long=long_sql("dataset", FEATS, "symbol")))
 def q_scaler_fit(spark, sf):
