@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,11 @@ def normalised(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  "), F.lit(" "))
 
 
+def with_value(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` computed once per row, however often ``fn`` uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def pattern(terms: list[str]) -> str:
     """One alternation for a word list; longer phrases first, so that they win over their prefixes."""
     spaced = sorted(("  ".join(re.findall("[a-z0-9]+", t.lower())) for t in terms), key=lambda t: (-len(t), t))
@@ -29,14 +35,13 @@ def words(norm: Column) -> Column:
 
 def per_thousand(norm: Column, terms: list[str]) -> Column:
     """Hits per 1000 words; 0 for a text without words."""
-    n = words(norm)
-    return F.when(n > 0, hits(norm, terms) * 1000 / n).otherwise(F.lit(0.0))
+    return with_value(norm, lambda t: F.when(words(t) > 0, hits(t, terms) * 1000 / words(t)).otherwise(F.lit(0.0)))
 
 
 def balance(norm: Column, positive: list[str], negative: list[str]) -> Column:
     """positive / (positive + negative) hits, 0.5 when there are none."""
-    p, n = hits(norm, positive), hits(norm, negative)
-    return F.when(p + n > 0, p / (p + n)).otherwise(F.lit(0.5))
+    counts = with_value(norm, lambda t: F.struct(hits(t, positive).alias("p"), hits(t, negative).alias("n")))
+    return with_value(counts, lambda c: F.when(c["p"] + c["n"] > 0, c["p"] / (c["p"] + c["n"])).otherwise(F.lit(0.5)))
 
 
 def sections(text: Column, marker: str) -> tuple[Column, Column]:
@@ -54,9 +59,10 @@ def section_shift(text: Column, marker: str, terms: list[str], scale: float = 10
 
 
 def terms_present(norm: Column, terms: list[str]) -> Column:
-    """The terms of a list that occur in the text."""
-    spaced = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(pattern([t]).replace("(?:", "").replace(")", "")).alias("p")) for t in terms])
-    return F.transform(F.filter(spaced, lambda s: F.contains(norm, s["p"])), lambda s: s["t"])
+    """The terms of a list that occur in the text; the text is normalised once for all of them."""
+    literal = lambda t: pattern([t]).replace("(?:", "").replace(")", "")
+    return with_value(norm, lambda text: F.array_compact(
+        F.array(*[F.when(F.contains(text, F.lit(literal(t))), F.lit(t)) for t in terms])))
 
 
 def specificity(text: Column) -> Column:

@@ -11,9 +11,9 @@ from eventide.operators.ordering import first_per_key
 
 def lexicon_density(docs: DataFrame, key: list[str], text: str, lexicons: dict[str, list[str]]) -> DataFrame:
     """(key..., words, lexicon, hits, per_1000): one projection, no shuffle."""
-    norm = docs.select(*key, X.normalised(F.col(text)).alias("_t"))
-    counted = norm.select(*key, X.words(F.col("_t")).alias("words"),
-                          *[X.hits(F.col("_t"), terms).alias(name) for name, terms in lexicons.items()])
+    counts = X.with_value(X.normalised(F.col(text)), lambda t: F.struct(
+        X.words(t).alias("words"), *[X.hits(t, terms).alias(name) for name, terms in lexicons.items()]))
+    counted = docs.select(*key, counts.alias("c")).select(*key, "c.*")
     long = counted.unpivot([*key, "words"], list(lexicons), "lexicon", "hits")
     return long.withColumn("per_1000", F.when(F.col("words") > 0, F.col("hits") * 1000 / F.col("words")).otherwise(F.lit(0.0)))
 
