@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import compare
 
+PLACES = {"combo_signals": 3, "view_combos": 3, "corr_matrix": 3}
 SF = "/root/testdata/sf0.001"
 QUICK = [
     "feature_signal_table", "corr_matrix", "combo_signals", "signal_stats_combined", "sample_extremes", "best_period",
@@ -20,7 +21,7 @@ NAMES = sorted(entry.oracle_sql()) if os.environ.get("EVENTIDE_ALL") else QUICK
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, name):
-    problem, n = compare.compare(compare.connect(SF), entry.queries()[name](spark, SF), entry.oracle_sql()[name])
+    problem, n = compare.compare(compare.connect(SF), entry.queries()[name](spark, SF), entry.oracle_sql()[name], places=PLACES.get(name, 4))
     assert problem is None, problem
 
 
