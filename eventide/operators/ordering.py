@@ -140,6 +140,23 @@ def exact_quantiles(
     return counts.groupBy(*groups).agg(*quantile_columns(value, quantiles))
 
 
+def distribution(
+    df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float], label: str = "values"
+) -> DataFrame:
+    """Per group: n, exact quantiles, mean and population deviation, from one pass over ``df``.
+
+    Everything after the collapse to distinct values reads the staged counts only.
+    """
+    counts = cumulative_counts(df, groups, value, label=label)
+    means = counts.groupBy(*groups).agg((F.sum(F.col(value) * F.col("cnt")) / F.sum("cnt")).alias("_mean"))
+    gap = F.col(value) - F.col("_mean")
+    # one row per group: groups are columns or horizons
+    return counts.join(F.broadcast(means), groups).groupBy(*groups).agg(
+        F.sum("cnt").alias("n"), *quantile_columns(value, quantiles), F.max("_mean").alias("mean"),
+        F.sqrt(F.sum(F.col("cnt") * gap * gap) / F.sum("cnt")).alias("std"),
+    )
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key; a map-side ``min_by``, so hot keys are not collected."""
     rest = [c for c in df.columns if c not in keys]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventide.functions.stats import ic_pvalue
-from eventide.operators.ordering import cumulative_counts, quantile_columns
+from eventide.operators.ordering import cumulative_counts, distribution, quantile_columns
 from eventide.operators.rankcorr import pairwise_spearman
 
 
@@ -198,12 +198,8 @@ def feature_summary(rows: DataFrame, features: dict[str, str]) -> DataFrame:
     """p25 / p50 / p75 (exact), mean and population deviation per feature."""
     long = rows.select(*[F.col(c).cast("double").alias(f) for f, c in features.items()]).unpivot(
         [], list(features), "feature", "value"
-    ).where(F.col("value").isNotNull())
-    moments = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    quantiles = cumulative_counts(long, ["feature"], "value", label="quantiles").groupBy("feature").agg(
-        *quantile_columns("value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     )
-    return quantiles.join(moments, "feature")
+    return distribution(long, ["feature"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}).drop("n")
 
 
 def scaler_fit(rows: DataFrame, features: dict[str, str]) -> DataFrame:

@@ -14,6 +14,7 @@ from eventide.operators.returns import forward_returns, price_window
 from eventide.plans.oracle_tables import sql
 from eventide.plans.q_signals import FEATS, RANKED, RETS, ic_sql, long_sql, pairs_sql, staged
 from eventide.plans.registry import query
+from eventide.session import stage
 from eventide.sources import warehouse as wh
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -188,7 +189,7 @@ IMPUTED = ["peRatio", "forwardPE", "priceToMA30", "rsi14"]
 @query("median_impute", sql(["filings"], "select ticker, filingDate, "
        + ", ".join(f"round(coalesce({c}, median({c}) over ()), 10) as {c}" for c in IMPUTED) + " from filings where actual30dAlpha is not null"))
 def q_impute(spark, sf):
-    df = wh.filings(spark, sf).where("actual30dAlpha is not null").select("ticker", "filingDate", *IMPUTED)
+    df = stage(wh.filings(spark, sf).where("actual30dAlpha is not null").select("ticker", "filingDate", *IMPUTED), "filings")
     return signals.rounded(cleaning.median_impute(df, IMPUTED), 10)
 
 
@@ -369,7 +370,7 @@ def q_lookback(spark, sf):
   select ticker, filingDate, round(sentimentScore * 10, 4) as predicted, actual30dReturn as actual_return, spxReturn30d as index_return,
     round(actual30dReturn - spxReturn30d, 4) as actual_alpha from filings"""))
 def q_actuals(spark, sf):
-    f = wh.filings(spark, sf)
+    f = stage(wh.filings(spark, sf).select("ticker", "filingDate", "sentimentScore", "actual30dReturn", "spxReturn30d"), "filings")
     predictions = f.select("ticker", "filingDate", F.round(F.col("sentimentScore") * 10, 4).alias("predicted"))
     actuals = f.select("ticker", "filingDate", F.col("actual30dReturn").alias("actual_return"), F.col("spxReturn30d").alias("index_return"))
     return joins.join_actuals(predictions, actuals, ["ticker", "filingDate"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from eventide.definitions import (ALPHA_CUTS, ALPHA_MARKET_BASELINE, ALPHA_MODEL, HORIZON_ORDER, KNOWN_FEATURES)
 from eventide.functions import columns as C
 from eventide.operators import alpha, cleaning, evaluation, joins, scoring, signals, views
+from eventide.operators.ordering import distribution
 from eventide.operators.scoring import ScoringModel
 from eventide.plans.oracle_tables import sql
 from eventide.plans.q_cleaning import META_SQL, TODAY, feature_meta
@@ -252,10 +253,8 @@ TARGETS_SQL = " union all ".join(
 
 def targets(spark, sf):
     long = wh.dataset(spark, sf).select(*[F.col(c).alias(h) for h, c in RETS.items()]).unpivot([], list(RETS), "horizon", "y").where("y is not null")
-    from eventide.operators.ordering import exact_quantiles
-
-    medians = exact_quantiles(long, ["horizon"], "y", {"y_median": 0.5})
-    return long.groupBy("horizon").agg(F.count("y").alias("n"), F.avg("y").alias("y_mean"), F.stddev_pop("y").alias("y_std")).join(medians, "horizon")
+    out = distribution(long, ["horizon"], "y", {"y_median": 0.5}, "targets")
+    return out.select("horizon", "n", F.col("mean").alias("y_mean"), F.col("std").alias("y_std"), "y_median")
 
 
 @query("target_summary", sql(["dataset"], "select horizon, n, round(y_mean, 4) as y_mean, round(y_std, 4) as y_std, round(y_median, 6) as y_median from targets", targets=TARGETS_SQL))
@@ -271,7 +270,9 @@ def q_targets(spark, sf):
     **UNI, blended=BLENDED, targets=TARGETS_SQL))
 def q_view_predictions(spark, sf):
     t = targets(spark, sf).select("horizon", "n", F.round("y_mean", 4).alias("intercept"))
-    view = views.view_predictions(evaluation.blend_weights(univariate(spark, sf)), compared(spark, sf), t)
+    fits = stage(univariate(spark, sf), "fits")
+    ranked = evaluation.model_comparison(fits.select("horizon", F.col("feature").alias("model"), "cv_r2"))
+    view = views.view_predictions(evaluation.blend_weights(fits), ranked, t)
     return view.select("horizon", "best_model", "best_cv_r2", "n", "intercept", F.posexplode("weights").alias("p", "w")).select(
         "horizon", "best_model", "best_cv_r2", "n", "intercept", "w.feature", "w.weight", (F.col("p") + 1).alias("place"))
 

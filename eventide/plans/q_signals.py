@@ -10,6 +10,7 @@ from eventide.operators import rankcorr, signals
 from eventide.operators.ordering import avg_rank
 from eventide.plans.oracle_tables import sql
 from eventide.plans.registry import query
+from eventide.session import stage
 from eventide.sources import warehouse as wh
 
 FEATS = {f: f"feat_{f}" for f in KNOWN_FEATURES}
@@ -228,9 +229,11 @@ def q_pair_features(spark, sf):
     """Pairs f1 < f2 of the features that hold data, with the most rows they can share."""
     long = wh.dataset(spark, sf).select(*[F.col(c).alias(f) for f, c in FEATS.items()]).unpivot([], list(FEATS), "feature", "score")
     present = long.groupBy("feature").agg(F.count("score").alias("n")).where("n > 0")
-    # a self-join of one row per feature column: its size is fixed by the schema
-    a, b = present.toDF("f1", "n1"), present.toDF("f2", "n2")
-    return a.join(F.broadcast(b), F.col("f1") < F.col("f2")).select("f1", "f2", F.least("n1", "n2").alias("n_max"))
+    # one row per feature column, so the list is as short as the schema
+    ordered = present.agg(F.sort_array(F.collect_list(F.struct("feature", "n"))).alias("all"))
+    first = ordered.select("all", F.posexplode("all").alias("i", "a"))
+    pairs = first.select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
+    return pairs.select(F.col("a.feature").alias("f1"), F.col("b.feature").alias("f2"), F.least("a.n", "b.n").alias("n_max"))
 
 
 def _combo_sql() -> str:
@@ -291,7 +294,8 @@ def q_scaler_fit(spark, sf):
     from long where score is not null) x where place <= 3""",
     long=long_sql("dataset", FEATS, "symbol, year, quarter, return_5D, return_10D")))
 def q_sample_extremes(spark, sf):
-    out = signals.sample_extremes(wh.dataset(spark, sf), FEATS, ["return_5D", "return_10D"], ["symbol", "year", "quarter"])
+    data = stage(wh.dataset(spark, sf), "dataset")  # read once for each end
+    out = signals.sample_extremes(data, FEATS, ["return_5D", "return_10D"], ["symbol", "year", "quarter"])
     return out.select("feature", "side", "place", "symbol", "quarter", "year",
                       F.round("score", 2).alias("score"), "return_5D", "return_10D")
 
@@ -302,7 +306,8 @@ def q_sample_extremes(spark, sf):
   from long where score is not null""", long=long_sql("dataset", FEATS, "symbol, quarter, year")))
 def q_avg_rank(spark, sf):
     keep = ["symbol", "quarter", "year"]
-    long = wh.dataset(spark, sf).select(*keep, *[F.col(c).alias(f) for f, c in FEATS.items()]).unpivot(
+    data = stage(wh.dataset(spark, sf), "dataset")  # ranked, then joined with its ranks
+    long = data.select(*keep, *[F.col(c).alias(f) for f, c in FEATS.items()]).unpivot(
         keep, list(FEATS), "feature", "score").where("score is not null")
     return avg_rank(long, ["feature"], "score", "rank").select("feature", *keep, "score", "rank")
 
