@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from eventide.definitions import (HORIZON_ORDER, KNOWN_FEATURES, SCORING_GRID_EARNINGS, SCORING_GRID_FILINGS)
-from eventide.operators import evaluation, information, signals, solvers, trees, views, walkforward, zoo
+from eventide.definitions import KNOWN_FEATURES, SCORING_GRID_EARNINGS, SCORING_GRID_FILINGS
+from eventide.operators import evaluation, information, signals, solvers, trees, walkforward, zoo
 from eventide.operators.moments import moment_blocks, sum_products
 from eventide.operators.ordering import POSITION
 from eventide.operators.scoring import rank_scores, score_events
 from eventide.operators.training import train_scoring_model
 from eventide.plans import flows
 from eventide.plans.oracle_tables import sql
-from eventide.plans.q_scoring import PART, SCORED, LIVE, hand_model, model_data, scored_sql, targets
-from eventide.plans.q_signals import FEATS, FILING_FEATS, FILING_TARGETS, RETS, long_sql
+from eventide.plans.q_scoring import LIVE, PART, hand_model, model_data, scored_sql
+from eventide.plans.q_signals import (FEATS, FILING_FEATS, FILING_TARGETS, PVALUE, RANKED, RETS, STAT_COLS, ic_sql,
+                                      long_sql, pairs_sql, rounded_sql, stats_sql)
 from eventide.plans.registry import query
 from eventide.session import stage
 from eventide.sources import warehouse as wh
@@ -297,3 +298,37 @@ def q_earnings(spark, sf):
     data = stage(wh.dataset(spark, sf), "dataset")
     model, _ = train_scoring_model(data, FEATS, "return_1D", ORDER, SCORING_GRID_EARNINGS, "1D")
     return rank_scores(score_events(data, model, KEY).drop("feature_contributions"), KEY)
+
+
+# --- combined sources and a walk-forward that SQL can state -------------------------------------------------------
+
+COMBINED_SQL = ("select s.symbol, s.quarter, s.year, f.actual7dReturn, f.actual30dReturn, f.actual7dAlpha, f.actual30dAlpha, "
+                + ", ".join(f"f.{raw} as sec_{snake}" for snake, raw in FILING_FEATS.items()) + ", "
+                + ", ".join(f"s.{f} as nlp_{f}" for f in KNOWN_FEATURES)
+                + " from filings f join scores s on s.symbol = upper(f.ticker) and s.quarter = quarter(cast(f.filingDate as date))"
+                  " and s.year = year(cast(f.filingDate as date))")
+
+
+@query("feature_signal_table_combined", sql(
+    ["filings", "scores"],
+    f"select feature, horizon, {rounded_sql(STAT_COLS + ' ic ic_pvalue')}, n_observations, n_signal_triggered from stats join pv using (feature, horizon)",
+    combined=COMBINED_SQL, pairs=pairs_sql("combined", flows.COMBINED, FILING_TARGETS), ranked=RANKED, ic=ic_sql(15), pv=PVALUE,
+    stats=stats_sql(flows.COMBINED_BEAR, "quantile", "observed", 15)))
+def q_combined_signals(spark, sf):
+    """Both feature families of the joined sources against every filing target."""
+    return flows.combined_signals(spark, sf)
+
+
+@query("walk_forward_one_feature", sql(
+    ["dataset"], "select earnings_date, symbol, batch, round(my - w * mx + w * x, 4) + 0 as predicted, y as actual from fit where batch > 0",
+    base="""select earnings_date, symbol, feat_mgmt_hedging as a, return_5D as y, row_number() over (order by earnings_date, symbol) - 1 as pos from dataset
+      where feat_mgmt_hedging is not null and return_5D is not null""",
+    z="""select earnings_date, symbol, y, (a - (select avg(a) from base)) / (select stddev_pop(a) from base) as x,
+      cast(case when pos < 50 then 0 else (pos - 50) // 10 + 1 end as bigint) as batch from base""",
+    sums="select batch, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy from z group by batch",
+    prior="""select batch, sum(n) over w as n, sum(sx) over w as sx, sum(sy) over w as sy, sum(sxx) over w as sxx, sum(sxy) over w as sxy
+      from sums window w as (order by batch rows between unbounded preceding and 1 preceding)""",
+    fit="""select z.*, sx / n as mx, sy / n as my, (sxy - sx * sy / n) / (sxx - sx * sx / n + 1) as w from z join prior using (batch)"""))
+def q_wf_one(spark, sf):
+    out = walkforward.walk_forward_ridge(design(spark, sf, ["mgmt_hedging"]), ORDER)
+    return out.select(*ORDER, "batch", (F.round("predicted", 4) + 0.0).alias("predicted"), "actual")
