@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventide.llm import bpe_count, byte_bpe, licenses, line_quality, url_model
+from eventide.llm import bpe_count, byte_bpe, licenses, line_quality, toxicity, url_model
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,10 @@ def op9_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     return byte_bpe.digests(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf_dir):
+    """Toxicity of every document, learnt from labels that aren't held out."""
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
