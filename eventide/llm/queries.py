@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventide.llm import bpe_count, byte_bpe, licenses, line_quality, toxicity, url_model
+from eventide.llm import bpe_count, byte_bpe, licenses, line_dedup, line_quality, toxicity, url_model
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +76,10 @@ def op10_toxicity(spark, sf_dir):
     """Toxicity of every document, learnt from labels that aren't held out."""
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf_dir):
+    """Every run of lines that is deleted, with the document and line where it stands first."""
+    runs = line_dedup.repeated_runs(table(spark, sf_dir, "documents"))
+    return runs.select(F.col("key").alias("doc_id"), "first_line", "last_line", F.col("source_key").alias("source_doc_id"), "source_line")
