@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe_count, byte_bpe, licenses, line_dedup, line_quality, toxicity, url_model
+from eventide.llm import bpe_count, byte_bpe, decontaminate, licenses, line_dedup, line_quality, toxicity, url_model
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    """Every place of a benchmark item in a document."""
+    return decontaminate.occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op3_quality_rules", line_quality.oracle())
 def op3_quality_rules(spark, sf_dir):
     """Line-first quality rules on every document."""
