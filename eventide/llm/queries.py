@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe_count, byte_bpe, decontaminate, licenses, line_dedup, line_quality, toxicity, url_model
+from eventide.llm import bpe_count, byte_bpe, decontaminate, licenses, line_dedup, line_quality, ngram_join, toxicity, url_model
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +39,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_ngram_join", ngram_join.oracle())
+def op1_ngram_join(spark, sf_dir):
+    """Components of documents whose sets of three-word shingles overlap by nine tenths."""
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 @query("op2_decontamination")
 def op2_decontamination(spark, sf_dir):
     """Every place of a benchmark item in a document."""

@@ -280,7 +280,7 @@ class _Known(dict):
         self.model, self.floor = model, model.lowest()
 
     def learn(self, found: set[str]) -> None:
-        todo = sorted(found - self.keys())
+        todo = sorted(t for t in found if t not in self)
         if len(self) + len(todo) > KNOWN_WORDS:
             self.clear()
             todo = sorted(found)
