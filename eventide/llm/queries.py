@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe_count, byte_bpe, decontaminate, licenses, line_dedup, line_quality, ngram_join, toxicity, url_model
+from eventide.llm import bpe_count, byte_bpe, decontaminate, licenses, line_dedup, line_quality, ngram_join, packing, toxicity, url_model
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,19 @@ def op6_license_scans(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
 
 
+@query("op8_packing")
+def op8_packing(spark, sf_dir):
+    """Every row of the packed matrices: its documents, where their pieces begin, cumulative lengths, digests of ids and positions."""
+    import public_tokenizers
+
+    shards = packing.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = packing.matrix_rows(shards)
+    return rows.select(
+        "shard", "row", "doc_ids", "offsets", "cu_seqlens", F.element_at("cu_seqlens", -1).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),
+    )
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark, sf_dir):
     """Ids of every document, and the bytes that they decode to, as digests."""

@@ -303,20 +303,32 @@ def known_words(model: Model, mark: bytes) -> _Known:
 
 def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns: the key, ``held_out``, ``score`` and ``predicted``."""
+    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    scored = rows.mapInArrow(_scorer(model, 1, lambda part, values: pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64())], names=["key", "score"])), f"key {kind}, score double")
+    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def remove_toxic(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``documents`` without the rows whose score reaches the threshold; nothing is shuffled."""
+    at = documents.columns.index(text)
+    return documents.mapInArrow(_scorer(model, at, lambda part, values: part.filter(pa.array(values < THRESHOLD))), documents.schema)
+
+
+def _scorer(model: Model | None, at: int, use):
+    """A task that hands every slice and the scores of its texts to ``use``."""
     mark = hashlib.sha256(model.weights.tobytes() + repr(model[1:]).encode()).digest() if model else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_words(model, mark) if model else None
-        for part in slices(batches, 1, SLICE_BYTES):
+        for part in slices(batches, at, SLICE_BYTES):
             if known is None:
                 values = np.zeros(part.num_rows)
             else:
-                found = [tokens(t) if t else set() for t in part.column(1).to_pylist()]
+                found = [tokens(t) if t else set() for t in part.column(at).to_pylist()]
                 known.learn(set().union(*found))
                 margin = np.array([max(map(known.__getitem__, f), default=known.floor) for f in found])
                 values = np.round(model.score(margin), 6)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64())], names=["key", "score"])
+            yield use(part, values)
 
-    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, score double")
-    return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return run
