@@ -22,3 +22,11 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int) -> It
             size += int(n)
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or it with underscores before it until no column has that name (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

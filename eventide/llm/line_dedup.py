@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import slices
+from eventide.llm.batches import free_name, slices
 from eventide.session import stage
 
 SLICE_BYTES = 16_000_000
@@ -158,22 +158,23 @@ def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text")
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:
     """``documents`` without repeated runs, all columns and rows kept; ``drop_emptied``: but for rows that lose their last line."""
     runs = repeated_runs(documents, key, text).groupBy("key", "digest").agg(F.collect_set(F.struct("first_line", "last_line")).alias("runs"))
-    runs = runs.select(F.col("key").alias("_run_key"), F.col("digest").alias("_run_digest"), "runs").withColumnRenamed("runs", "_runs")
-    columns, ids = documents.columns, (F.col(key) == F.col("_run_key")) & (F.xxhash64(text) == F.col("_run_digest"))
-    joined = documents.join(runs, ids, "left")
+    columns = documents.columns
+    run_key, run_digest, cuts = (free_name(columns, c) for c in ("run_key", "run_digest", "runs"))
+    runs = runs.select(F.col("key").alias(run_key), F.col("digest").alias(run_digest), F.col("runs").alias(cuts))
+    joined = documents.join(runs, (F.col(key) == F.col(run_key)) & (F.xxhash64(text) == F.col(run_digest)), "left")
     names = [f.name for f in documents.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text)
         for part in slices(batches, at, SLICE_BYTES):
-            texts, cuts = part.column(at).to_pylist(), part.column(len(names)).to_pylist()
-            left = [t if r is None else without(t, r) for t, r in zip(texts, cuts)]
+            texts, gone = part.column(at).to_pylist(), part.column(len(names)).to_pylist()
+            left = [t if r is None else without(t, r) for t, r in zip(texts, gone)]
             out = pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(left, pa.string()), *part.columns[at + 1 : -1]], names=names)
             if drop_emptied:
-                out = out.filter(pa.array([r is None or bool(t.strip()) for t, r in zip(left, cuts)]))
+                out = out.filter(pa.array([r is None or bool(t.strip()) for t, r in zip(left, gone)]))
             yield out
 
-    return joined.select(*columns, "_runs").mapInArrow(run, documents.schema)
+    return joined.select(*columns, cuts).mapInArrow(run, documents.schema)
 
 
 def without(text: str, runs: list[dict]) -> str:

@@ -6,11 +6,11 @@ put in, left out or appended. Words are white-space tokens reduced to their lett
 one word as well.
 
 Training reads labelled sentences: every sentence of a clean document is negative, and of a toxic document those
-sentences are positive whose strongest word is significantly more frequent in toxic documents, besides the document's
-strongest sentence, where strength first comes from document frequencies and then from the last fit (multiple-instance
-rounds). A sentence counts by its strongest word, and a document by its strongest sentence. The
-kernel against the landmarks, whitened (Nyström), feeds a linear machine with squared hinge loss. As the machine is linear in
-the kernel, it folds into one weight per letter triple, which is all that scoring needs. A logistic curve, fitted on
+sentences are positive that have a word which is significantly more frequent in toxic documents (and whose beginning is
+hardly known from clean ones), and from the second fit on also a document's strongest sentence, if the last fit finds it toxic (multiple-instance rounds). A
+sentence counts by its strongest word, and a document by its strongest sentence. The kernel against the landmarks, whitened
+(Nyström), feeds a linear machine with squared hinge loss. As the machine is linear in the kernel, it folds into one weight
+per letter triple, which is all that scoring needs. A logistic curve, fitted on
 sample documents that the machine didn't see, turns the strongest word's margin into the score.
 
 The sample that the driver fits on is bounded: ``SAMPLE`` documents of each label of at most ``SAMPLE_CHARS`` characters,
@@ -40,6 +40,7 @@ KNOWN_WORDS = 600_000
 SPAN, DECAY = 8, 0.5
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 LANDMARKS, NEGATIVES, ROUNDS, PENALTY = 192, 24_000, 4, 1e-3
+STEM = 5
 THRESHOLD = 0.7
 #: Words whose score can't exceed this aren't worked out exactly; it is also the lowest score.
 LOWEST = 0.01
@@ -200,26 +201,33 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     learn = turn != 3  # the others calibrate
     if len(set(label[learn])) < 2 or len(set(label[~learn])) < 2:
         learn = np.ones(len(label), bool)
-    toxic, clean = Counter(), Counter()
+    toxic, clean, toxic_stems, clean_stems = Counter(), Counter(), Counter(), Counter()
     for d, y, use in zip(docs, label, learn):
         if use:
-            (toxic if y > 0 else clean).update(set().union(*d))
+            words = set().union(*d)
+            (toxic if y > 0 else clean).update(words)
+            (toxic_stems if y > 0 else clean_stems).update({w[:STEM] for w in words})
     n_toxic, n_clean = (label[learn] > 0).sum(), (label[learn] < 0).sum()
-    suspicion = {w: np.log((n + 0.5) / n_toxic) - np.log((clean[w] + 0.5) / n_clean) for w, n in toxic.items()}
-    least = 2 * np.log(100 * max(1, len(suspicion)))  # one word in a hundred fits passes by chance
-    significant = {w for w, n in toxic.items() if n > 9 * clean[w] and _evidence(n, clean[w], n_toxic / (n_toxic + n_clean)) > least}
+    least = 2 * np.log(100 * max(1, len(toxic)))  # one word in a hundred fits passes by chance
+    # significant words whose beginning is hardly known from clean text
+    significant = {
+        w for w, n in toxic.items()
+        if n > 9 * clean[w] and toxic_stems[w[:STEM]] > 12 * clean_stems[w[:STEM]] and _evidence(n, clean[w], n_toxic / (n_toxic + n_clean)) > least
+    }
+    suspicion = {w: (w in significant, np.log((n + 0.5) / n_toxic) - np.log((clean[w] + 0.5) / n_clean)) for w, n in toxic.items()}
     negative = sorted(clean, key=lambda w: (-clean[w], w))
     sampled = negative[: NEGATIVES // 4] + negative[NEGATIVES // 4 :: max(1, len(negative) // (3 * NEGATIVES // 4))]
     hard: list[str] = []
     model = None
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
         chosen = set()
         for d, y, use in zip(docs, label, learn):
             if use and y > 0:
                 strong = [max(s, key=lambda w: (suspicion[w], w)) for s in d if s]
                 best = max(strong, key=lambda w: (suspicion[w], w), default=None)
                 chosen.update(w for w in strong if w in significant)
-                if best is not None and clean[best] == 0 and toxic[best] >= min(2, n_toxic):
+                # a document's strongest word alone says little, unless the last fit finds it like known ones
+                if best is not None and clean[best] == 0 and (suspicion[best][1] > 0 if step else not significant):
                     chosen.add(best)
         positive = sorted(chosen, key=lambda w: (-toxic[w], w))
         if not positive:
@@ -236,7 +244,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         model = Model(weights, bias, 1.0, 60.0)  # no floor while it is fitted
         every = sorted(set(toxic) | set(clean))
         margin = dict(zip(every, model.margins(every).tolist()))
-        suspicion = {x: margin[x] for x in toxic}
+        suspicion = {x: (x in significant, margin[x]) for x in toxic}
         hard = sorted(clean, key=lambda x: (-margin[x], x))[: NEGATIVES // 4]
     test = ~learn if (~learn).any() else learn
     every = sorted(set().union(*(s for d, t in zip(docs, test) if t for s in d)))
