@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def normalised(text: Column) -> Column:
     """Lower-case tokens, each with its own blank on both sides, so that phrases can be counted."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
 
 
 def with_value(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -21,7 +21,7 @@ def with_value(value: Column, fn: Callable[[Column], Column]) -> Column:
 
 def pattern(terms: list[str]) -> str:
     """One alternation for a word list; longer phrases first, so that they win over their prefixes."""
-    spaced = sorted(("  ".join(re.findall("[a-z0-9]+", t.lower())) for t in terms), key=lambda t: (-len(t), t))
+    spaced = sorted(("  ".join(re.findall(r"[^\W_]+", t.lower())) for t in terms), key=lambda t: (-len(t), t))
     return f" (?:{'|'.join(spaced)}) "
 
 
@@ -30,7 +30,7 @@ def hits(norm: Column, terms: list[str]) -> Column:
 
 
 def words(norm: Column) -> Column:
-    return F.regexp_count(norm, F.lit("[a-z0-9]+"))
+    return F.regexp_count(norm, F.lit(r"[\p{L}\p{N}]+"))
 
 
 def per_thousand(norm: Column, terms: list[str]) -> Column:

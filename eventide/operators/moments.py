@@ -19,8 +19,9 @@ def sum_products(
     """(block, i, j, n, s): the sum of ``columns[i] * columns[j]`` and the complete-pair count.
 
     Both ways combine map-side, so what is shuffled is one row per task and block (or per task,
-    block and pair), whatever the size of a block.
+    block and pair), whatever the size of a block. NaN is a missing value like NULL, in both ways.
     """
+    df = df.select(block, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     if len(pairs) <= MAX_BUILTIN_PRODUCTS:
         products = [F.col(columns[i]) * F.col(columns[j]) for i, j in pairs]
         wide = df.groupBy(block).agg(

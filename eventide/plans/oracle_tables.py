@@ -45,7 +45,11 @@ TABLES: dict[str, tuple[list[str], str]] = {
   select {_SYMBOL.format('s_suppkey')} as symbol, cast(qi % 4 + 1 as integer) as quarter,
          cast(qi // 4 as integer) as year,
          make_date(cast(qi // 4 as integer), cast((qi % 4) * 3 + 2 as integer), 15) as event_date
-  from supplier, (select unnest(range({wh.FIRST_QUARTER}, {wh.LAST_QUARTER + 1})) as qi) q"""),
+  from supplier, (
+    select year(d) * 4 + quarter(d) - 1 as qi
+    from (select cast(unnest(generate_series(date '1900-02-15', date '2199-11-15', interval 3 month)) as date) as d) c,
+         (select min(cast(l_shipdate as date)) as low, max(cast(l_shipdate as date)) as high from lineitem) s
+    where d > low and d <= high + 90) q"""),
     "leads": (["bars"], f"""
   select b.symbol, b.date, b.close, lag(b.close) over w as prev_close, lag(b.date) over w as prev_date, {_HIDDEN}
   from bars b window w as (partition by symbol order by date)"""),

@@ -49,8 +49,13 @@ def q_analyzable(spark, sf):
     return cleaning.analyzable(wh.transcripts(spark, sf)).select("doc_id", F.length("transcript").cast("bigint").alias("n_chars"))
 
 
-TRUNCATED = ("case when length(transcript) > 8000 then left(transcript, 3000) || chr(10) || chr(10) || "
-             "'[... middle section truncated ...]' || chr(10) || chr(10) || right(transcript, 5000) else transcript end")
+def truncated(limit: int, head: int, tail: int) -> str:
+    return (f"case when length(transcript) > {limit} then left(transcript, {head}) || chr(10) || chr(10) || "
+            f"'[... middle section truncated ...]' || chr(10) || chr(10) || right(transcript, {tail}) else transcript end")
+
+
+# a lower limit than the requests have, so that texts of the given tables are cut at all
+TRUNCATED = truncated(8000, 3000, 5000)
 
 
 @query("truncate_middle", sql(["transcripts"], f"select doc_id, length({TRUNCATED}) as n_chars, md5({TRUNCATED}) as digest from transcripts"))
@@ -65,13 +70,12 @@ INSTRUCTIONS = "Score each feature from 0 to 1 and answer with JSON only."
 @query("build_requests", sql(["transcripts"], f"""
   select doc_id, ticker || '_Q' || quarter || '_' || year as custom_id,
     md5('Transcript of ' || ticker || ', quarter ' || quarter || ' of ' || year || ':' || chr(10) || chr(10)
-        || {TRUNCATED} || chr(10) || chr(10) || '{INSTRUCTIONS}') as digest,
+        || {truncated(80000, 30000, 50000)} || chr(10) || chr(10) || '{INSTRUCTIONS}') as digest,
     cast((row_number() over (order by ticker, year, quarter, doc_id) - 1) // 100 + 1 as bigint) as batch_no
   from transcripts where length(transcript) >= 500"""))
 def q_build_requests(spark, sf):
     work = cleaning.analyzable(wh.transcripts(spark, sf))
-    out = cleaning.build_requests(work, INSTRUCTIONS, ["ticker", "year", "quarter", "doc_id"], 100,
-                                  limit=8000, head=3000, tail=5000)
+    out = cleaning.build_requests(work, INSTRUCTIONS, ["ticker", "year", "quarter", "doc_id"], 100)
     return out.select("doc_id", "custom_id", F.md5("prompt").alias("digest"), "batch_no")
 
 

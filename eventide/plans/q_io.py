@@ -155,7 +155,7 @@ def q_report(spark, sf):
     data = staged(spark, sf)
     table = signals.feature_signal_table(data, FEATS, RETS, BEARISH)
     best = signals.best_period(table, HORIZON_ORDER)
-    found = zoo.zoo_frame(spark, {h: zoo.linear_zoo(zoo.prepare(data, FEATS, c, ORDER), {"OLS", "Ridge", "Lasso"}) for h, c in list(RETS.items())[:2]})
+    found = zoo.zoo_frame(spark, {h: zoo.linear_zoo(zoo.prepare(data, FEATS, c, ORDER), {"OLS", "Ridge", "Lasso"}) for h, c in RETS.items()})
     models = evaluation.model_comparison(zoo.zoo_models(found))
     horizon = evaluation.best_horizon(models).first()["horizon"]
     weights = evaluation.blend_weights(zoo.zoo_blend_input(found)).where(F.col("horizon") == horizon)

@@ -13,7 +13,7 @@ from eventide.operators.ordering import distribution
 from eventide.operators.scoring import ScoringModel
 from eventide.plans.oracle_tables import sql
 from eventide.plans.q_cleaning import META_SQL, TODAY, feature_meta
-from eventide.plans.q_signals import (BEARISH, FEATS, PVALUE, RANKED, RETS, ic_sql, long_sql, pairs_sql, rounded_sql,
+from eventide.plans.q_signals import (BEARISH, FEATS, FILING_FEATS, PVALUE, RANKED, RETS, ic_sql, long_sql, pairs_sql, rounded_sql,
                                       signal_table, staged, stats_sql, STAT_COLS)
 from eventide.plans.registry import query
 from eventide.session import stage
@@ -336,13 +336,20 @@ def q_inventory(spark, sf):
         "filings": wh.filings(spark, sf).select(F.col("ticker").alias("symbol"), F.col("filingDate").alias("date"))})
 
 
-@query("union_rows", sql(["scores", "filings"], """
-  select symbol, quarter, year, 'nlp_hedging' as family, mgmt_hedging as value from scores
-  union all select upper(ticker), quarter(cast(filingDate as date)), year(cast(filingDate as date)), 'sec_risk_score', riskScore from filings"""))
+_NLP_ROWS = ", ".join(f"('nlp_{f}', cast({f} as double))" for f in KNOWN_FEATURES)
+_SEC_ROWS = ", ".join(f"('sec_{snake}', cast({raw} as double))" for snake, raw in FILING_FEATS.items())
+
+
+@query("union_rows", sql(["scores", "filings"], f"""
+  select symbol, quarter, year, x[1] as family, x[2] as value from (select symbol, quarter, year, unnest([{_NLP_ROWS}]) as x from scores) a
+  union all select symbol, quarter, year, x[1], x[2] from (
+    select upper(ticker) as symbol, quarter(cast(filingDate as date)) as quarter, year(cast(filingDate as date)) as year, unnest([{_SEC_ROWS}]) as x from filings) b"""))
 def q_union(spark, sf):
-    nlp = wh.feature_scores(spark, sf).select(*KEY, F.lit("nlp_hedging").alias("family"), F.col("mgmt_hedging").alias("value"))
-    sec = cleaning.filing_keys(wh.filings(spark, sf)).select(*KEY, F.lit("sec_risk_score").alias("family"), F.col("riskScore").alias("value"))
-    return nlp.unionByName(sec)
+    """Both feature families in one long table, a row per event and feature."""
+    long = lambda df, prefix, columns: df.select(*KEY, F.explode(F.array(*[
+        F.struct(F.lit(prefix + name).alias("family"), F.col(c).cast("double").alias("value")) for name, c in columns.items()])).alias("x")).select(*KEY, "x.*")
+    nlp = long(wh.feature_scores(spark, sf), "nlp_", {f: f for f in KNOWN_FEATURES})
+    return nlp.unionByName(long(cleaning.filing_keys(wh.filings(spark, sf)), "sec_", FILING_FEATS))
 
 
 # --- alpha model ---------------------------------------------------------------------------------------------

@@ -30,11 +30,13 @@ def long_sql(table: str, feats: dict[str, str], keep: str, value: str = "score")
 
 
 def pairs_sql(table: str, feats: dict[str, str], rets: dict[str, str]) -> str:
-    return " union all ".join(
-        f"select '{f}' as feature, '{h}' as horizon, cast({c} as double) as score, {r} as ret from {table} "
-        f"where {c} is not null and {r} is not null"
-        for f, c in feats.items() for h, r in rets.items()
-    )
+    """Every feature with every horizon of a row, from one scan of the table."""
+    scores = ", ".join(f"{{'feature': '{f}', 'score': cast({c} as double)}}" for f, c in feats.items())
+    returns = ", ".join(f"{{'horizon': '{h}', 'ret': {r}}}" for h, r in rets.items())
+    return f"""
+  select x.feature as feature, y.horizon as horizon, x.score as score, y.ret as ret
+  from (select x, unnest(ys) as y from (select unnest([{scores}]) as x, [{returns}] as ys from {table}) a) b
+  where x.score is not null and y.ret is not null"""
 
 
 RANKED = """

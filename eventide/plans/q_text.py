@@ -16,16 +16,21 @@ TERMS = ["the", "ion", "tion", "rewh", "of the", "eau", "ment", "den", "hea", "o
 MARKER = "the "
 
 
+def spaced(terms: list[str]) -> str:
+    """Alternation of the terms with two blanks between words and one around, the longer ones first."""
+    return " (" + "|".join(t.replace(" ", "  ") for t in sorted(terms, key=lambda t: (-len(t) - t.count(" "), t))) + ") "
+
+
 def norm(text: str) -> str:
-    return f"(' ' || regexp_replace(lower({text}), '[^a-z0-9]+', '  ', 'g') || ' ')"
+    return f"(' ' || regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' ')"
 
 
 def n_hits(text: str, terms: list[str]) -> str:
-    return f"len(regexp_extract_all({text}, '{X.pattern(terms)}'))"
+    return f"len(regexp_extract_all({text}, '{spaced(terms)}'))"
 
 
 def n_words(text: str) -> str:
-    return f"len(regexp_extract_all({text}, '[a-z0-9]+'))"
+    return f"len(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+'))"
 
 
 NORM = {"docs": f"select doc_id, text, {norm('text')} as t from documents"}
@@ -70,7 +75,7 @@ def q_shift(spark, sf):
         "doc_id", F.round(X.section_shift(F.col("text"), MARKER, LEXICONS["risk"]), 6).alias("shift"))
 
 
-_HAS = ", ".join(f"case when contains(t, '{X.pattern([w]).replace('(?:', '').replace(')', '')}') then '{w}' end" for w in TERMS)
+_HAS = ", ".join(f"case when contains(t, ' {w.replace(' ', '  ')} ') then '{w}' end" for w in TERMS)
 
 
 @query("novelty_vs_prior", sql(["transcripts"], """

@@ -91,7 +91,7 @@ def snapshot(spark: SparkSession, table_path: str, when: dt.datetime) -> str:
 def report_lines(
     meta: DataFrame, best: DataFrame, models: DataFrame, weights: DataFrame, notable: DataFrame, top: int = 6,
 ) -> list[str]:
-    """Markdown summary of the result tables; each is cut to its top rows before it is collected."""
+    """Markdown summary of the result tables; each has a row per feature, horizon or pair of features."""
     m = meta.first()
     lines = ["# Signal results", "",
              f"Dataset: {m['total_events']} events, {len(m['companies'])} companies, {m['first_date']} to {m['last_date']}",
@@ -100,12 +100,12 @@ def report_lines(
     for r in strongest.withColumn("stars", stars(F.col("ic_pvalue"))).orderBy("place").collect():
         lines.append(f"- **{r['feature']}**: IC={r['ic']:.3f} at {r['horizon']}, accuracy={r['accuracy']:.1%}, p={r['ic_pvalue']:.3f} {r['stars']}".rstrip())
     lines += ["", "## Best model by horizon", ""]
-    winners = models.where("place = 1").orderBy("horizon").limit(10).collect()
+    winners = models.where("place = 1").orderBy("horizon").collect()
     lines += [f"- **{r['horizon']}**: {r['model']} (CV R²={r['cv_r2']:.4f})" for r in winners]
     lines += ["", "## Weights", ""]
-    for r in weights.orderBy(F.desc(F.abs("weight"))).limit(50).collect():
+    for r in weights.orderBy(F.desc(F.abs("weight")), "feature").collect():
         lines.append(f"- {r['feature']}: **{r['weight']:+.4f}** ({'bullish' if r['weight'] > 0 else 'bearish'})")
-    pairs = notable.orderBy(F.desc(F.abs("r")), "f1", "f2").limit(50).collect()
+    pairs = notable.orderBy(F.desc(F.abs("r")), "f1", "f2").collect()
     if pairs:
         lines += ["", "## Redundant features", ""] + [f"- {r['f1']} / {r['f2']}: r={r['r']:.2f}" for r in pairs]
     lines += ["", "## Caveats", ""]

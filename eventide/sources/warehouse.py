@@ -8,6 +8,8 @@ score does not depend on the order in which rows are summed.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,6 @@ from eventide.definitions import HORIZON_ORDER, KNOWN_FEATURES
 from eventide.operators.returns import forward_returns
 
 DAYS_AFTER = 120
-FIRST_QUARTER, LAST_QUARTER = 1995 * 4 + 1, 2001 * 4 + 1
 LOOKBACK_DAYS = 90
 
 # Volume-weighted average price of a day, in whole cents.
@@ -142,13 +143,23 @@ def event_date(quarter_index: Column) -> Column:
     )
 
 
+def quarters(spark: SparkSession, sf_dir: str) -> list[int]:
+    """Quarters whose event has line items in its look-back, by the table's own first and last ship date."""
+    shipped = F.to_date("l_shipdate")
+    first, last = read(spark, sf_dir, "lineitem").agg(F.min(shipped), F.max(shipped)).first()
+    if first is None:
+        return []
+    dates = {q: dt.date(q // 4, q % 4 * 3 + 2, 15) for q in range(first.year * 4, last.year * 4 + 8)}
+    return [q for q, day in dates.items() if first < day <= last + dt.timedelta(days=LOOKBACK_DAYS)]
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier x quarter: (symbol, quarter, year, event_date)."""
     return (
         read(spark, sf_dir, "supplier")
         .select(
             symbol("s_suppkey").alias("symbol"),
-            F.explode(F.sequence(F.lit(FIRST_QUARTER), F.lit(LAST_QUARTER))).alias("qi"),
+            F.explode(F.array(*map(F.lit, quarters(spark, sf_dir))).cast("array<int>")).alias("qi"),
         )
         .select(
             "symbol",
@@ -162,14 +173,13 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _to_quarters(lines: DataFrame) -> DataFrame:
     """Each line item with the quarters whose event falls 1..90 days after it was shipped.
 
-    At most three calendar candidates per row instead of a range join.
+    Events are three months apart, so these are the quarter it was shipped in or the next one, if any.
     """
     shipped = F.to_date("l_shipdate")
     own = F.year(shipped) * 4 + F.quarter(shipped) - 1
     days = F.datediff(event_date(F.col("qi")), shipped)
     return (
-        lines.withColumn("qi", F.explode(F.sequence(own, own + 2)))
-        .where(F.col("qi").between(FIRST_QUARTER, LAST_QUARTER))
+        lines.withColumn("qi", F.explode(F.array(own, own + 1)))
         .where(days.between(1, LOOKBACK_DAYS))
         .withColumn("symbol", symbol("l_suppkey"))
         .withColumn("quarter", (F.col("qi") % 4 + 1).cast("int"))
