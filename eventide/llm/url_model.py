@@ -104,8 +104,8 @@ def calibrate(scored: DataFrame) -> float:
     grid = bins.sparkSession.range(-BINS, BINS + 2).withColumnRenamed("id", "bin").join(bins, "bin", "left").fillna(0)
     up, down = Window.orderBy("bin").rowsBetween(0, Window.unboundedFollowing), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     rates = grid.select(
-        "bin", (F.sum("a").over(up) / F.sum("a").over(Window.partitionBy())).alias("hit"),
-        (F.coalesce(F.sum("b").over(down), F.lit(0)) / F.sum("b").over(Window.partitionBy())).alias("reject"),
+        "bin", F.try_divide(F.sum("a").over(up), F.sum("a").over(Window.partitionBy())).alias("hit"),
+        F.try_divide(F.coalesce(F.sum("b").over(down), F.lit(0)), F.sum("b").over(Window.partitionBy())).alias("reject"),
     ).withColumn("gain", F.round(F.col("hit") + F.col("reject"), 9))
     best = rates.agg(F.max("gain").alias("gain"))
     row = rates.join(F.broadcast(best), "gain").agg(F.min("bin").alias("low"), F.max("bin").alias("high")).first()  # one row

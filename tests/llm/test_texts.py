@@ -61,6 +61,8 @@ def test_byte_bpe_equals_library_and_decodes(odd, empty):
         want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()))
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert byte_bpe.digests(empty, *args).count() == 0
+    apart = byte_bpe.decode(byte_bpe.encode(odd.drop("n_tokens"), *args), *args).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, bytes(r.decoded)) for r in apart) == sorted((str(r.doc_id), len(e.encode_ordinary(r.text or "")), (r.text or "").encode()) for r in odd.collect())
 
 
 def test_byte_bpe_long_words_contract_many_places():
@@ -128,7 +130,8 @@ def quality_figures(text):
 
 
 def test_quality_figures_and_verdicts(spark, empty):
-    clean = "\n".join(f"This is sentence number {i} of a clean text that says something new each time it goes on." for i in range(12))
+    r = random.Random(1)
+    clean = "\n".join(" ".join(f"w{r.randrange(900)}" for _ in range(15)) + "." for _ in range(12))
     other = [clean, clean + "\n" + "\n".join(f"### x{i} *** y{i} &&& z{i}" for i in range(60)), clean + "\nHome | About | Contact | Login", "a b c d a b c x y z a b c", "x\nx\n\nx\n y\ny",
              "same words here " * 30, "\n".join(["We use cookies on this site to do things that nobody ever reads about."] * 15), None, *ODD[:-1]]
     docs = spark.createDataFrame([(i, t, *[None] * 6) for i, t in enumerate(other)], SCHEMA)
