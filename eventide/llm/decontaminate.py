@@ -160,11 +160,17 @@ def places(raw: bytes, index: Index, starts: np.ndarray) -> list[tuple[int, int,
         doc = int(np.searchsorted(starts, begin, side="right")) - 1
         if edits <= k and doc >= 0 and end > begin:
             found.add((doc, i, begin, end, edits))
-    kept: list[tuple[int, int, int, int, int]] = []
-    for x in sorted(found, key=lambda x: (x[0], x[1], x[4], x[2], x[3])):
-        if not any(y[:2] == x[:2] and y[2] < x[3] and x[2] < y[3] for y in kept[-64:]):
-            kept.append(x)
-    return kept
+    return sorted(found)
+
+
+def best(found: set[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Places that overlap no better place of the same text and item, by place."""
+    kept: dict[tuple[int, int], list] = {}
+    for x in sorted(found, key=lambda x: (x[4], x)):
+        own = kept.setdefault(x[:2], [])
+        if not any(y[2] < x[3] and x[2] < y[3] for y in own):
+            own.append(x)
+    return sorted(x for own in kept.values() for x in own)
 
 
 def search(texts: list[str | None], index: Index) -> list[tuple[int, object, int, int, int]]:
@@ -175,12 +181,12 @@ def search(texts: list[str | None], index: Index) -> list[tuple[int, object, int
     starts = np.cumsum([0, *(len(r) + len(GAP) for r in raws)])[:-1]
     row = GAP.join(raws)
     overlap = 2 * max(map(len, index.items)) + 64
-    found = {}
+    found = set()
     for begin in range(0, len(row), PIECE):
         for doc, i, a, b, edits in places(row[begin : begin + PIECE + overlap], index, starts - begin):
-            found[doc, i, a + begin, b + begin] = edits
+            found.add((doc, i, a + begin, b + begin, edits))
     out = []
-    for (doc, i, a, b), edits in sorted(found.items()):
+    for doc, i, a, b, edits in best(found):
         raw = raws[doc]
         first, end = (len(raw[: x - starts[doc]].decode("utf-8", "ignore")) for x in (a, b))
         out.append((doc, index.ids[i], first, end, edits))
