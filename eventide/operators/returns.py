@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from eventide.definitions import HORIZONS, LEAD_IN_DAYS, WINDOW_BUFFER_DAYS
 
 
-def calendar_bars(bars: DataFrame, reach: int, horizons: dict[str, int]) -> DataFrame:
-    """One row per symbol and calendar day: the first bar on or after it, with its neighbours.
+def first_bars(events: DataFrame, bars: DataFrame, reach: int, horizons: dict[str, int]) -> DataFrame:
+    """(symbol, event_date) of the events with the first bar on or after the date, and that bar's neighbours.
 
-    Bars hold one row per symbol and day, so the window per symbol is bounded by the calendar,
-    and an as-of lookup becomes an equality join on (symbol, day) with no fan-out. A bar serves
-    the days since the bar before it, at most ``reach`` of them.
+    Bars and event dates hold one row per symbol and day, so windows per symbol are bounded by the calendar. Dates and bars are
+    put in one order, latest first, and every date takes the last bar before it: nothing is spread over the calendar.
     """
     w = Window.partitionBy("symbol").orderBy("date")
     cols = {f"lead_date_{i}": F.lead("date", i).over(w) for i in range(1, LEAD_IN_DAYS)}
@@ -21,13 +20,14 @@ def calendar_bars(bars: DataFrame, reach: int, horizons: dict[str, int]) -> Data
     cols |= {f"close_{label}": F.lead("close", k).over(w) for label, k in horizons.items()}
     cols |= {f"date_{label}": F.lead("date", k).over(w) for label, k in horizons.items()}
     cols["prev_close"] = F.lag("close", 1).over(w)
-    start = F.greatest(
-        F.coalesce(F.date_add("lag_date_1", 1), F.date_sub("date", reach)), F.date_sub("date", reach)
-    )
-    return (
-        bars.withColumns(cols)
-        .withColumn("day", F.explode(F.sequence(start, F.col("date"))))
-    )
+    known = bars.select("symbol", "date", "close").withColumns(cols)
+    bar = F.struct(*[c for c in known.columns if c != "symbol"])
+    known = known.select("symbol", F.col("date").alias("event_date"), bar.alias("bar"), F.lit(0).alias("asked"))
+    dates = events.select("symbol", "event_date").distinct()
+    asked = dates.select("symbol", "event_date", F.lit(None).cast(known.schema["bar"].dataType).alias("bar"), F.lit(1).alias("asked"))
+    backwards = Window.partitionBy("symbol").orderBy(F.desc("event_date"), "asked").rowsBetween(Window.unboundedPreceding, 0)
+    found = known.unionByName(asked).withColumn("bar", F.last("bar", ignorenulls=True).over(backwards))
+    return found.where((F.col("asked") == 1) & (F.col("bar.date") <= F.date_add("event_date", reach))).select("symbol", "event_date", "bar.*")
 
 
 def price_window(events: DataFrame, bars: DataFrame, days_after: int = 30) -> DataFrame:
@@ -53,7 +53,7 @@ def forward_returns(
     inside the five-day lead-in.
     """
     reach = days_after + WINDOW_BUFFER_DAYS
-    days = calendar_bars(bars.select("symbol", "date", "close"), reach, horizons)
+    first = first_bars(events, bars, reach, horizons)
     e = F.col("event_date")
     end = F.date_add(e, reach)
     first_day = F.date_sub(e, LEAD_IN_DAYS)
@@ -74,7 +74,7 @@ def forward_returns(
     day_return = F.when(
         F.col("lag_date_1") >= first_day, pct(F.col("close"), F.col("prev_close"))
     ).alias("return_earnings_day")
-    matched = events.join(days.withColumnRenamed("day", "event_date"), ["symbol", "event_date"])
+    matched = events.join(first, ["symbol", "event_date"])
     return matched.where((before + after >= 5) & (F.col("lead_date_1") < end)).select(
         *events.columns, *returns, day_return
     )

@@ -47,4 +47,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_path = path
+    return staged
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: whatever was made from them must be staged itself."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
