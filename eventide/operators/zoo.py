@@ -110,20 +110,25 @@ def linear_zoo(design: Design, models: set[str] | None = None, poly_top: int = 6
     named = lambda w: {k: round(float(v), 4) for k, v in zip(f, w)}
     out: list[tuple] = []
 
-    w_ols, b_ols = solvers.weights_and_intercept(whole, solvers.ols)
-    cv = solvers.cross_validate(blocks, solvers.ols)
+    # a grid is only searched for the models that are asked for, or built on it
+    kept: dict[str, float] = {}
+    if want & {"OLS", "Polynomial"}:
+        w_ols, b_ols = solvers.weights_and_intercept(whole, solvers.ols)
     if "OLS" in want:
+        cv = solvers.cross_validate(blocks, solvers.ols)
         out += _rows("OLS", {"r2_insample": solvers.r2(whole, w_ols, b_ols), "r2_cv_mean": cv["mean"], "r2_cv_std": cv["std"],
                              "rmse_cv": cv["rmse"], "intercept": round(b_ols, 4)}, named(w_ols))
 
-    alpha, cv = solvers.best_of(blocks, RIDGE_GRID, solvers.ridge)
-    w, _ = solvers.weights_and_intercept(whole, solvers.ridge(alpha))
+    if want & {"Ridge", "Stepwise+Ridge"}:
+        alpha, cv = solvers.best_of(blocks, RIDGE_GRID, solvers.ridge)
     if "Ridge" in want:
+        w, _ = solvers.weights_and_intercept(whole, solvers.ridge(alpha))
         out += _rows("Ridge", {"best_alpha": alpha, "r2_cv_mean": cv["mean"], "r2_cv_std": cv["std"]}, named(w))
 
-    l_alpha, l_cv = solvers.best_of(blocks, LASSO_GRID, solvers.lasso)
-    w, _ = solvers.weights_and_intercept(whole, solvers.lasso(l_alpha))
-    kept = {k: round(float(v), 4) for k, v in zip(f, w) if abs(v) > 1e-6}
+    if want & {"Lasso", "Polynomial"}:
+        l_alpha, l_cv = solvers.best_of(blocks, LASSO_GRID, solvers.lasso)
+        w, _ = solvers.weights_and_intercept(whole, solvers.lasso(l_alpha))
+        kept = {k: round(float(v), 4) for k, v in zip(f, w) if abs(v) > 1e-6}
     if "Lasso" in want:
         out += _rows("Lasso", {"best_alpha": l_alpha, "r2_cv_mean": l_cv["mean"], "r2_cv_std": l_cv["std"],
                                "n_features_selected": len(kept), "n_features_eliminated": len(f) - len(kept)}, kept)
@@ -145,9 +150,10 @@ def linear_zoo(design: Design, models: set[str] | None = None, poly_top: int = 6
                      {f[j]: round(float(v), 4) for j, v in zip(columns, w)})
         out += [("Stepwise+Ridge", "added_at", f[j], float(i + 1)) for i, j in enumerate(order)]
 
-    base = _top(kept, poly_top) or _top(named(w_ols), poly_top)
-    if "Polynomial" in want and len(base) >= 2 and design.n >= MIN_ROWS_SELECTION:
-        out += polynomial(design, base)
+    if "Polynomial" in want and design.n >= MIN_ROWS_SELECTION:
+        base = _top(kept, poly_top) or _top(named(w_ols), poly_top)
+        if len(base) >= 2:
+            out += polynomial(design, base)
     return out
 
 
