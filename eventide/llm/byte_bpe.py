@@ -6,10 +6,10 @@ byte, and a recursive query joins neighbouring tokens with the merge table and c
 pair of minimum rank until no pair can be merged. Decoding joins ids with the vocabulary and concatenates the pieces of
 a document in an ordered aggregation.
 
-One round may contract several places of a word, if that is provably the same: rank ``r`` stands for one byte string,
+For long words one round may contract several places of a word, if that is provably the same: rank ``r`` stands for one byte string,
 and where no token of a lower rank starts or ends with that string, contracting one place can't create a better pair, so
-the next leftmost minimum is the next place that doesn't overlap the last. For all other ranks a round contracts one
-place only.
+the next leftmost minimum is the next place that doesn't overlap the last. For all other ranks, and for
+all short words, a round contracts one place of a word.
 
 Cases: a null or empty text has no ids (both digests are those of no bytes); texts of any length are worked on whole;
 repeated rows give repeated results; columns other than the key and the text are not read, so their names can't clash.
@@ -29,15 +29,42 @@ from pyspark.sql import functions as F
 from eventide.llm.batches import slices
 
 #: Bytes of text that a task works on at a time (a longer text is worked on alone, and whole).
-SLICE_BYTES = 8_000_000
-#: Words whose ids a Python process remembers; beyond that it starts anew.
-KNOWN_WORDS = 600_000
+SLICE_BYTES = 6_000_000
+#: Words whose ids a Python process remembers, in two generations: words met in the younger one outlive the older.
+KNOWN_WORDS = 1_000_000
 #: Byte rows that one recursive query starts from (a longer word is worked on alone).
-QUERY_ROWS = 1_000_000
+QUERY_ROWS = 300_000
+#: Words of more bytes take the query for long words.
+SHORT = 40
 
+#: One place per word and round: the leftmost minimum is an aggregate, so no round sorts. For words of few bytes, whose
+#: rounds are few. Rows: word, number of the token in the word, token, next token, their merge, round.
 CONTRACT = """
+with recursive s(w, n, tok, next, id, round) as (
+  select w, n, tok, next, id, 0 from symbols left join merges on l = tok and r = next
+  union all
+  select w, n, tok, next, merges.id, round
+  from (
+    select a.w, case when a.n > head then a.n - 1 else a.n end as n,
+      case when a.n = head then new else a.tok end as tok,
+      case when a.n = head then after when a.n = head - 1 then new else a.next end as next,
+      a.round + 1 as round
+    from s a join (
+      select b.w, b.best % 1048576 as head, b.best // 1048576 as new, c.next as after
+      from (select w, min(id::bigint * 1048576 + n) as best from s where id is not null group by w) b
+        join s c on c.w = b.w and c.n = b.best % 1048576 + 1
+    ) h on a.w = h.w
+    where a.n <> head + 1
+  ) left join merges on l = tok and r = next
+)
+select w, list(tok order by n) as ids
+from s join (select w, max(round) as round from s group by w) using (w, round) group by w order by w
+"""
+
+#: Many places per word and round, where that is safe: for long words.
+CONTRACT_LONG = """
 with recursive s(w, pos, tok, done) as (
-  select w, pos, tok, false from symbols
+  select w, n, tok, false from symbols
   union all
   select w, pos, case when taken then id else tok end, low is null
   from (
@@ -65,7 +92,7 @@ select w, list(tok order by pos) as ids from s where done group by w order by w
 """
 
 DECODE = """
-select doc, string_agg(piece, '' order by pos) as text from tokens join vocabulary using (id) group by doc order by doc
+select doc, array_to_string(list(piece order by pos), '') as text from tokens join vocabulary using (id) group by doc order by doc
 """
 
 
@@ -113,6 +140,7 @@ class Coder:
             "piece": [t.decode("latin-1") for t in self.ranks],  # one character for each byte
         }))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the generation before
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("arrow_rows", rows)
@@ -122,43 +150,59 @@ class Coder:
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
         lengths = np.array([len(w) for w in words])
+        ends = np.cumsum(lengths)
+        tok = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
+        following = np.r_[tok[1:], np.int32(-1)]
+        following[ends - 1] = -1  # nothing follows a word's last byte
         symbols = pa.table({
             "w": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
-            "pos": np.arange(lengths.sum(), dtype=np.int64),
-            "tok": self.of_byte[np.frombuffer(b"".join(words), np.uint8)],
+            "n": np.arange(1, len(tok) + 1, dtype=np.int32) - np.repeat(ends - lengths, lengths).astype(np.int32),
+            "tok": tok,
+            "next": following,
         })
         self.con.register("symbols", symbols)
-        lists = self.con.sql(CONTRACT).to_arrow_table().column("ids").combine_chunks()
+        lists = self.con.sql(CONTRACT if lengths.max() <= SHORT else CONTRACT_LONG).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("symbols")
         ids = lists.values.to_numpy().astype("<u4").tobytes()
         ends = lists.offsets.to_numpy() * 4
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def learn(self, words: set[str]) -> None:
-        todo, size = [], 0
-        for word in sorted(words):
+    def learn(self, words: list[str]) -> None:
+        short, long = [], []
+        for word in words:
             raw = word.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.known[word] = whole.to_bytes(4, "little")
-                continue
-            if todo and size + len(raw) > QUERY_ROWS:
-                self._store(todo)
-                todo, size = [], 0
-            todo.append(word)
-            size += len(raw)
-        if todo:
-            self._store(todo)
-
-    def _store(self, words: list[str]) -> None:
-        self.known.update(zip(words, self.contract([w.encode() for w in words])))
+            else:
+                (short if len(raw) <= SHORT else long).append((word, raw))
+        for some in (short, long):
+            start = size = 0
+            for i, (_, raw) in enumerate(some):
+                if i > start and size + len(raw) > QUERY_ROWS:
+                    self._store(some[start:i])
+                    start, size = i, 0
+                size += len(raw)
+            if some:
+                self._store(some[start:])
+
+    def _store(self, words: list[tuple[str, bytes]]) -> None:
+        self.known.update(zip([w for w, _ in words], self.contract([raw for _, raw in words])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.find(t) if t else [] for t in texts]
         words = set().union(*split)
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        self.learn(words - self.known.keys())
+        if len(self.known) > KNOWN_WORDS // 2:
+            self.before, self.known = self.known, {}
+        new = []
+        for word in words:
+            if word not in self.known:
+                ids = self.before.get(word)
+                if ids is None:
+                    new.append(word)
+                else:
+                    self.known[word] = ids
+        self.learn(new)
         of = self.known.__getitem__
         return [b"".join(map(of, ws)) for ws in split]
 
@@ -168,7 +212,7 @@ class Coder:
         if counts.sum():
             self.con.register("tokens", pa.table({
                 "doc": np.repeat(np.arange(len(encoded), dtype=np.int32), counts),
-                "pos": np.arange(counts.sum(), dtype=np.int64),
+                "pos": np.arange(counts.sum(), dtype=np.int32),
                 "id": np.frombuffer(b"".join(encoded), "<u4").astype(np.int32),
             }))
             for doc, text in zip(*self.con.sql(DECODE).to_arrow_table().to_pydict().values()):
@@ -220,9 +264,25 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids")
     return rows.mapInArrow(run, schema)
 
 
+def encode_and_decode(documents: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` of its ids in one task: the key, ``n_tokens``, ``ids`` and ``decoded``."""
+    content = Path(vocabulary).read_bytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = coder(content, pattern)
+        for part in slices(batches, 1, SLICE_BYTES):
+            ids = words.encode(part.column(1).to_pylist())
+            arrays = [part.column(0), pa.array(ids, pa.binary()), pa.array(words.decode(ids), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "ids", "decoded"])
+
+    rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    coded = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary, decoded binary")
+    return coded.select(F.col("key").alias(key), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+
+
 def digests(documents: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the bytes decoded from them."""
-    coded = decode(encode(documents, vocabulary, pattern, key), vocabulary, pattern)
+    coded = encode_and_decode(documents, vocabulary, pattern, key)
     return coded.select(
         key, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
