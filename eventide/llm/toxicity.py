@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from eventide.llm.batches import slices
 
 SLICE_BYTES = 8_000_000
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 300_000
 SPAN, DECAY = 8, 0.5
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 LANDMARKS, NEGATIVES, ROUNDS, PENALTY = 192, 24_000, 4, 1e-3
@@ -89,22 +89,24 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, triple, value / norm[word]
 
 
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel of every word with every landmark."""
+def kernel(words: list[str], landmarks: list[str], project: np.ndarray | None = None) -> np.ndarray:
+    """Kernel of every word with every landmark, or its product with ``project`` and a column of ones."""
     at, triple, value = features(landmarks)
     used, place = np.unique(triple, return_inverse=True)
     dense = np.zeros((len(used), len(landmarks)))
     dense[place, at] = value
-    out = np.zeros((len(words), len(landmarks)))
-    for start in range(0, len(words), 2_000):
-        part = words[start : start + 2_000]
+    out = np.ones((len(words), len(landmarks) if project is None else project.shape[1] + 1))
+    for start in range(0, len(words), 250):  # a row of the size of the landmarks for each of their triples
+        part = words[start : start + 250]
         word, triple, value = features(part)
         slot = np.minimum(np.searchsorted(used, triple), max(0, len(used) - 1))
         known = used[slot] == triple if len(used) else np.zeros(len(triple), bool)
         word, rows = word[known], dense[slot[known]] * value[known, None]
+        found = np.zeros((len(part), len(landmarks)))
         if len(word):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            out[start + word[first]] = np.add.reduceat(rows, first, axis=0)
+            found[word[first]] = np.add.reduceat(rows, first, axis=0)
+        out[start : start + len(part), : len(landmarks) if project is None else -1] = found if project is None else found @ project
     return out
 
 
@@ -154,16 +156,15 @@ def _evidence(toxic: int, clean: int, share: float) -> float:
     return 2 * sum(k * np.log(k / (n * q)) for k, q in ((toxic, share), (clean, 1 - share)) if k)
 
 
-def _machine(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss, both classes weighing the same, by Newton steps."""
-    x = np.c_[z, np.ones(len(z))]
+def _machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss, both classes weighing the same, by Newton steps; last column: ones."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    ridge = np.diag(np.r_[np.full(z.shape[1], PENALTY / 10), 1e-8])
+    ridge = np.diag(np.r_[np.full(x.shape[1] - 1, PENALTY / 10), 1e-8])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         active = y * (x @ w) < 1
-        s = share * active
-        new = np.linalg.solve(ridge + (x * s[:, None]).T @ x, (x * s[:, None]).T @ y)
+        weighted = x * (share * active)[:, None]
+        new = np.linalg.solve(ridge + weighted.T @ x, weighted.T @ y)
         done = np.abs(new - w).max() < 1e-9
         w = new
         if done:
@@ -238,7 +239,7 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
         keep = values > 1e-6 * values.max()
         whiten = vectors[:, keep] / np.sqrt(values[keep])
         words = positive + rest
-        w, bias = _machine(kernel(words, marks) @ whiten, np.r_[np.ones(len(positive)), -np.ones(len(rest))])
+        w, bias = _machine(kernel(words, marks, whiten), np.r_[np.ones(len(positive)), -np.ones(len(rest))])
         at, triple, value = features(marks)
         weights = np.bincount(triple, weights=(whiten @ w)[at] * value, minlength=_SYMBOLS**3)
         model = Model(weights, bias, 1.0, 60.0)  # no floor while it is fitted

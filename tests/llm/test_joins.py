@@ -299,3 +299,17 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
         assert bytes(r.ids) == ids and r.ids_sha256 == hashlib.sha256(ids).hexdigest() and r.decoded_sha256 == hashlib.sha256(ins[4][k].text.encode()).hexdigest()
     whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()}
     assert whole == {k: r.ids_sha256 for k, r in outs[4].items()}
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark):
+    from eventide.session import stage
+
+    schema = queries.table(spark, SF, "documents").schema
+    odd = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no key here", None, None, None), (4, "x " * 40_000, "de", "s", 1),
+           (5, "same words in both", "en", "s", 2), (5, "same words in both", "en", "s", 2), (6, "\n\n \n", "fr", None, 3)]
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, schema)
+        for name, f in corpus_pipeline.STAGES:
+            docs = stage(f(spark, docs, SF), name)
+        assert sorted(str(r.doc_id) for r in docs.collect()) == sorted(str(r[0]) for r in rows)
+        assert all(r.n_tokens == len(r.ids) // 4 for r in docs.collect())
