@@ -101,8 +101,8 @@ def build(rows: list[tuple]) -> Index:
     return Index([i for i, _ in rows], items, edits, size - qs + 1 - edits * qs, grams)
 
 
-def _hits(raw: bytes, g: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """Item and diagonal of every common q-gram."""
+def _hits(raw: bytes, g: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, diagonal and place in the item of every common q-gram."""
     codes = _codes(raw, g.q)
     at = np.flatnonzero(g.filter[_slot(codes, g.bits)])
     slot = np.minimum(np.searchsorted(g.codes, codes[at]), len(g.codes) - 1)
@@ -110,19 +110,26 @@ def _hits(raw: bytes, g: Grams) -> tuple[np.ndarray, np.ndarray]:
     at, slot = at[known], slot[known]
     count = g.first[slot + 1] - g.first[slot]
     entry = np.repeat(g.first[slot] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-    return g.item[entry], np.repeat(at, count) - g.place[entry]
+    return g.item[entry], np.repeat(at, count) - g.place[entry], g.place[entry]
 
 
 def candidates(raw: bytes, index: Index) -> Iterator[tuple[int, int, int]]:
     """Item and first and last diagonal of every band with enough hits."""
     for g in index.grams:
-        item, diagonal = _hits(raw, g)
+        item, diagonal, place = _hits(raw, g)
         width = index.edits[item] + 1
         shift = 1 + max((len(p) for p in index.items), default=0)  # diagonals begin before the text
         band = (diagonal + shift) // width
         step = np.int64(1) << 40
-        keys, counts = np.unique(np.concatenate([item * step + band, item * step + np.maximum(band - 1, 0)]), return_counts=True)
-        for key in keys[counts >= np.maximum(1, index.least[keys // step])]:
+        key, place = np.concatenate([item * step + band, item * step + np.maximum(band - 1, 0)]), np.r_[place, place]
+        least = np.maximum(1, index.least)
+        keys, at, counts = np.unique(key, return_inverse=True, return_counts=True)
+        enough = counts >= least[keys // step]
+        # bands with enough hits: how many of the item's q-grams do they have, each counted once?
+        some = enough[at]
+        pairs = np.unique(np.stack([at[some], place[some]]), axis=1)[0] if some.any() else at[:0]
+        counts = np.bincount(pairs, minlength=len(keys))
+        for key in keys[enough & (counts >= least[keys // step])]:
             i, b = divmod(int(key), 1 << 40)
             w = int(index.edits[i]) + 1
             yield i, b * w - shift, (b + 2) * w - 1 - shift
