@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 
+_MEMORY: dict[Any, Any] = {}
+
+
+def process_memory(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python process keeps between tasks: the value of one key at a time, made when the key is new.
+
+    Workers serve many operators one after the other; what an earlier one remembered is given up for the next.
+    """
+    if key not in _MEMORY:
+        _MEMORY.clear()
+        _MEMORY[key] = make()
+    return _MEMORY[key]
+
 
 def slices(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut batches so that one slice holds at most ``max_bytes`` of the text column, or a single row.

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import slices
+from eventide.llm.batches import process_memory, slices
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 #: Words whose counts a Python process remembers; beyond that it starts anew. Longer words aren't remembered.
 KNOWN_WORDS, KNOWN_LENGTH = 1_000_000, 64
 _PLACE = 1 << 40
@@ -100,15 +100,9 @@ class MergeCounter(dict):
         return n
 
 
-_COUNTERS: dict[int, MergeCounter] = {}
-
-
 def counter(content: str) -> MergeCounter:
-    key = hash(content)
-    if key not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[key] = MergeCounter(json.loads(content))
-    return _COUNTERS[key]
+    """The process's counter for a tokenizer."""
+    return process_memory(("bpe_count", hash(content)), lambda: MergeCounter(json.loads(content)))
 
 
 def count_tokens(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:

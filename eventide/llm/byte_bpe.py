@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import slices
+from eventide.llm.batches import process_memory, slices
 
 #: Bytes of text that a task works on at a time (a longer text is worked on alone, and whole).
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 #: Words whose ids a Python process remembers, in two generations: words met in the younger one outlive the older.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 #: Byte rows that one recursive query starts from (a longer word is worked on alone).
 QUERY_ROWS = 300_000
 #: Words of more bytes take the query for long words.
@@ -119,6 +119,36 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["l", "r", "id", "safe"])
 
 
+class Words(dict):
+    """Word -> number, and the ids of all words in a row; a new word gets the next number when it is asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.flat = np.zeros(0, "<u4")
+        self.ends = np.zeros(1, np.int64)  # of word n: flat[ends[n] : ends[n + 1]]
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def ids(self, n: int) -> bytes:
+        return self.flat[self.ends[n] : self.ends[n + 1]].tobytes()
+
+    def store(self, found: list[bytes]) -> None:
+        """Ids of the new words, in their order."""
+        self.new = []
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), "<u4")])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(f) // 4 for f in found], dtype=np.int64)])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and where each word's ids end."""
+        sizes = (self.ends[1:] - self.ends[:-1])[numbers]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.ends[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Coder:
     """One DuckDB connection in memory with the vocabulary, and the ids of the words met lately."""
 
@@ -139,8 +169,7 @@ class Coder:
             "id": pa.array(list(self.ranks.values()), pa.int32()),
             "piece": [t.decode("latin-1") for t in self.ranks],  # one character for each byte
         }))
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}  # the generation before
+        self.known, self.before = Words(), Words()  # the younger and the older generation
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.con.register("arrow_rows", rows)
@@ -167,44 +196,41 @@ class Coder:
         ends = lists.offsets.to_numpy() * 4
         return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self) -> None:
+        """Ids of the new words: those of the older generation, whole tokens, or contracted."""
+        words = self.known.new
+        found: list[bytes | None] = []
         short, long = [], []
-        for word in words:
-            raw = word.encode()
+        for i, word in enumerate(words):
+            n = self.before.get(word)
+            raw = word.encode() if n is None else b""
             whole = self.ranks.get(raw)
-            if whole is not None:
-                self.known[word] = whole.to_bytes(4, "little")
-            else:
-                (short if len(raw) <= SHORT else long).append((word, raw))
+            found.append(self.before.ids(n) if n is not None else None if whole is None else whole.to_bytes(4, "little"))
+            if found[-1] is None:
+                (short if len(raw) <= SHORT else long).append((i, raw))
         for some in (short, long):
             start = size = 0
-            for i, (_, raw) in enumerate(some):
-                if i > start and size + len(raw) > QUERY_ROWS:
-                    self._store(some[start:i])
+            for i in range(len(some) + 1):
+                if i == len(some) or (i > start and size + len(some[i][1]) > QUERY_ROWS):
+                    part = some[start:i]
+                    for (at, _), ids in zip(part, self.contract([raw for _, raw in part]) if part else []):
+                        found[at] = ids
                     start, size = i, 0
-                size += len(raw)
-            if some:
-                self._store(some[start:])
-
-    def _store(self, words: list[tuple[str, bytes]]) -> None:
-        self.known.update(zip([w for w, _ in words], self.contract([raw for _, raw in words])))
+                if i < len(some):
+                    size += len(some[i][1])
+        self.known.store(found)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.find(t) if t else [] for t in texts]
-        words = set().union(*split)
         if len(self.known) > KNOWN_WORDS // 2:
-            self.before, self.known = self.known, {}
-        new = []
-        for word in words:
-            if word not in self.known:
-                ids = self.before.get(word)
-                if ids is None:
-                    new.append(word)
-                else:
-                    self.known[word] = ids
-        self.learn(new)
-        of = self.known.__getitem__
-        return [b"".join(map(of, ws)) for ws in split]
+            self.before, self.known = self.known, Words()
+        number = self.known.__getitem__
+        numbers = [np.fromiter(map(number, self.find(t)), np.int32) if t else np.zeros(0, np.int32) for t in texts]
+        if self.known.new:
+            self.learn()
+        ids, ends = self.known.gather(np.concatenate(numbers) if numbers else np.zeros(0, np.int32))
+        last = np.r_[0, ends][np.cumsum([0, *map(len, numbers)])]
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
         counts = np.array([len(e) // 4 for e in encoded])
@@ -221,16 +247,9 @@ class Coder:
         return out
 
 
-_CODERS: dict[tuple[int, str], Coder] = {}
-
-
 def coder(content: bytes, pattern: str) -> Coder:
     """The process's coder for a vocabulary: made once, used by all its tasks."""
-    key = (hash(content), pattern)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(content, pattern)
-    return _CODERS[key]
+    return process_memory(("byte_bpe", hash(content), pattern), lambda: Coder(content, pattern))
 
 
 def encode(documents: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import free_name, slices
+from eventide.llm.batches import free_name, process_memory, slices
 from eventide.llm.components import connected_components
 from eventide.session import release, stage
 
@@ -53,7 +53,6 @@ SLICE_BYTES, CHUNK = 2_000_000, 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Base of the words' polynomial hash and its inverse modulo 2**64.
 _BASE, _INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _SLOT_BITS = 24
 _RARE, _REST = np.uint64(1 << 63), np.int64((1 << 63) - 1)
@@ -66,12 +65,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
+    powers = process_memory("ngram_join", lambda: [np.zeros(0, np.uint64), np.zeros(0, np.uint64)])
+    if len(powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(n, base, np.uint64)
             steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS
+            powers[i] = np.multiply.accumulate(steps)
+    return powers
 
 
 def _words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import slices
+from eventide.llm.batches import process_memory, slices
 from eventide.llm.byte_bpe import read_ranks
 
 SLICE_BYTES = 4_000_000
@@ -111,18 +111,12 @@ def matrix(ids: list[np.ndarray], width: int = WIDTH, pad: int = 0) -> Shard:
     return Shard(out, positions, rows)
 
 
-_ENCODINGS: dict = {}
-
-
 def encoding(content: bytes, pattern: str):
     """The process's tokenizer for a vocabulary."""
     import tiktoken
 
-    key = (hash(content), pattern)
-    if key not in _ENCODINGS:
-        _ENCODINGS.clear()
-        _ENCODINGS[key] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(content), special_tokens={})
-    return _ENCODINGS[key]
+    make = lambda: tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=read_ranks(content), special_tokens={})
+    return process_memory(("packing", hash(content), pattern), make)
 
 
 def packed(documents: DataFrame, vocabulary: str, pattern: str, width: int = WIDTH, pad: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

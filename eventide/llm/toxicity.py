@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import slices
+from eventide.llm.batches import process_memory, slices
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 KNOWN_WORDS = 300_000
 SPAN, DECAY = 8, 0.5
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
@@ -299,15 +299,9 @@ class _Known(dict):
         self.update(zip([todo[i] for i in long], self.model.margins([words[i] for i in long]).tolist() if long else []))
 
 
-_KNOWN: dict[bytes, _Known] = {}
-
-
 def known_words(model: Model, mark: bytes) -> _Known:
     """The process's memory for a model, used by all its tasks."""
-    if mark not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[mark] = _Known(model)
-    return _KNOWN[mark]
+    return process_memory(("toxicity", mark), lambda: _Known(model))
 
 
 def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
