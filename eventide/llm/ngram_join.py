@@ -457,9 +457,9 @@ def join_components(documents: DataFrame, key: str = "doc_id", text: str = "text
     )
 
 
-def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_first(documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``documents`` with one document of each component: the one with the smallest key; rows with a null key stay."""
-    found = join_components(documents, key, text)
+    found = join_components(documents, key, text, size, percent)
     name = free_name(documents.columns, "kept")
     kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(name)).distinct()
     named = documents.where(F.col(key).isNotNull())

@@ -116,6 +116,27 @@ def test_join_repeated_keys_null_keys_and_empty_table(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "5", "5", "None", "None"] and kept.columns == ["doc_id", "text", "class", "n", "entry", "runs"]
 
 
+@pytest.mark.parametrize("frequent,seed", [(4, 4), (0, 5)])
+def test_pipeline_join_links_copies_with_added_text(spark, monkeypatch, frequent, seed):
+    monkeypatch.setattr(ngram_join, "WORD_COUNT", 8 if frequent else 1)
+    texts = near_copies(seed, families=5, copies=10)
+    r = random.Random(seed)
+    base = [f"b{r.randrange(400)}" for _ in range(100)]
+    texts += [(len(texts), " ".join(base)), (len(texts) + 1, " ".join(base + [f"n{i}" for i in range(18)]))]
+    sets = []
+    for _, t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} if words else set())
+    least = list(range(len(texts)))
+    for _ in texts:  # the smallest number spreads along links until nothing changes
+        new = [min([least[i], *(least[j] for j, y in enumerate(sets) if x and y and 100 * len(x & y) >= 80 * len(x | y))]) for i, x in enumerate(sets)]
+        if new == least:
+            break
+        least = new
+    got = sorted(r.doc_id for r in corpus_pipeline.join_near_copies(spark, frame(spark, texts), SF).collect())
+    assert got == [i for i, x in enumerate(least) if i == x] and texts[-1][0] not in got and texts[-2][0] in got
+
+
 def test_join_equals_sql(spark):
     problem, _ = compare.compare(compare.connect(SF), queries.QUERIES["op1_ngram_join"](spark, SF), queries.ORACLES["op1_ngram_join"])
     assert problem is None, problem
