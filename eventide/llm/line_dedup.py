@@ -1,163 +1,194 @@
-"""Line dedup by winnowing: later copies of runs of lines are deleted, the first occurrence stays.
+"""Line dedup by winnowing: later copies of runs of words are deleted, the first occurrence stays.
 
-A text is a sequence of lines with a word (blank lines take no part), each with a hash and its number of words. An *item*
-is the shortest run of whole lines from a line on that has ``ITEM_WORDS`` words. In every shortest run of ``RUN_WORDS``
-words (a window) the item with the smallest hash is selected: a fingerprint. Equal runs of ``RUN_WORDS`` words have equal
-windows, so they share a fingerprint, wherever they stand.
+A text is a sequence of words, whatever white space and line ends stand between them, so a passage is found wherever it
+begins or ends in a line. An *item* are ``ITEM_WORDS`` words. In every run of ``RUN_WORDS`` words (a window) the item with
+the smallest hash is selected: a fingerprint. Equal runs of ``RUN_WORDS`` words have equal windows, so they share a
+fingerprint, wherever they stand.
 
-Each fingerprint is joined with its first occurrence in the order of (key, digest of the text, line); never all pairs.
-Both texts are then compared line by line on that diagonal, and the match is extended both ways as far as the lines are
-equal. The run is deleted from the later place. So a deleted run always has at least ``ITEM_WORDS`` words and stands
-at an earlier place, and of content that repeats the first occurrence is never deleted.
+Each fingerprint is joined with its first occurrence in the order of (key, digest of the text, place); never all pairs.
+Both texts, with one character between words, are then compared on that diagonal, and the match is extended both ways as
+far as whole words are equal. The run is deleted from the later place. So a deleted run always has at least
+``ITEM_WORDS`` words and stands at an earlier place, and of content that repeats the first occurrence is never deleted.
 
 Cases: null and empty texts and texts shorter than a window lose nothing; rows with a null key are passed on as they are
-and are no source; rows with equal key and text are one document and keep or lose the same lines; a text that repeats its
-own lines keeps the first ones; other columns are passed on, names included. Hot fingerprints and hot sources are join
-keys with one row on the other side, which Spark splits; nothing is gathered per fingerprint.
+and are no source; rows with equal key and text are one document and keep or lose the same words; a text that repeats its
+own words keeps the first ones; lines without a word stay, lines that lose all their words go; other columns are passed
+on, names included. Hot fingerprints and hot sources are join keys with one row on the other side, which Spark splits;
+nothing is gathered per fingerprint.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.batches import free_name, slices
+from eventide.llm.ngram_join import _mix, _powers, small, word_hashes
 from eventide.session import stage
 
 SLICE_BYTES = 16_000_000
 ITEM_WORDS, RUN_WORDS = 25, 50
-_MASK = (1 << 64) - 1
-
-
-def line_table(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Place, hash and number of words of every line that has a word."""
-    places, hashes, words = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        n = len(line.split())
-        if n:
-            places.append(i)
-            hashes.append(xxhash.xxh64_intdigest(line.strip()))
-            words.append(n)
-    return places, hashes, words
-
-
-def _ends(words: list[int], least: int) -> list[int]:
-    """Last line of the shortest run of ``least`` words from each line on; shorter than ``words`` where none is left."""
-    ends, last, total = [], -1, 0
-    for first in range(len(words)):
-        while total < least and last + 1 < len(words):
-            last += 1
-            total += words[last]
-        if total < least:
-            break
-        ends.append(last)
-        total -= words[first]
-    return ends
+_WORD = re.compile(r"\S+")
+_GAP, _LINE = 0x20, 0x0A
+_ONE_GAP = bytes(_GAP if b == _LINE else b for b in range(256))
+
+
+def plain(text: str) -> bytes:
+    """Words with one space between them, a line feed before every line that has a word, and one at the end."""
+    lines = (" ".join(line.split()) for line in text.split("\n"))
+    return ("\n" + "".join(line + "\n" for line in lines if line)).encode()
+
+
+def _ends(words: np.ndarray, least: int) -> np.ndarray:
+    """Last unit of the shortest run of ``least`` words from each unit on; shorter than ``words`` where none is left."""
+    total = np.r_[0, np.cumsum(words)]
+    ends = np.searchsorted(total, total[:-1] + least) - 1
+    return ends[ends < len(words)]
+
+
+def selected(hashes: np.ndarray, words: np.ndarray, item_words: int = ITEM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Of units with hashes and numbers of words: the first unit of every window's selected item, and all items' hashes."""
+    windows, ends = _ends(words, run_words), _ends(words, item_words)
+    if not len(windows):
+        return windows, np.zeros(0, np.uint64)
+    up, down = _powers(len(hashes))
+    total = np.r_[np.uint64(0), np.cumsum(hashes * up[: len(hashes)])]
+    firsts = np.arange(len(ends))
+    items = _mix((total[ends + 1] - total[firsts]) * down[firsts])
+    # the last of the smallest items in ranges of a power of two, and from two of these in every window
+    last = np.searchsorted(ends, windows, "right") - 1
+    first = np.arange(len(windows))
+    level = np.frexp(last - first + 1)[1] - 1
+    best, least, size = np.empty(len(windows), np.int64), firsts, 1
+    for k in range(int(level.max()) + 1):
+        at = np.flatnonzero(level == k)
+        a, b = least[first[at]], least[last[at] - size + 1]
+        best[at] = np.where(items[b] <= items[a], b, a)
+        a, b = least[:-size], least[size:]
+        least = np.where(items[b] <= items[a], b, a)
+        size *= 2
+    return best, items
 
 
 def fingerprints(hashes: list[int], words: list[int], item_words: int = ITEM_WORDS, run_words: int = RUN_WORDS) -> dict[int, int]:
-    """First line of every selected item, and the item's hash."""
-    windows = _ends(words, run_words)
-    if not windows:
-        return {}
-    ends, items = _ends(words, item_words), []
-    for i, e in enumerate(ends):
-        h = e - i
-        for x in hashes[i : e + 1]:
-            h = ((h ^ x) * 0x9E3779B97F4A7C15 + 0x7F4A7C15) & _MASK
-            h ^= h >> 29
-        items.append(h)
-    chosen: dict[int, int] = {}
-    for first, last in enumerate(windows):
-        best = first
-        i = first + 1
-        while i < len(ends) and ends[i] <= last:
-            if items[i] <= items[best]:
-                best = i
-            i += 1
-        chosen[best] = items[best]
-    return chosen
-
-
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
-
-
-def hashed_lines(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: key, digest, hashes of its lines, and its fingerprints as arrays of item and line number."""
+    """First unit of every selected item, and the item's hash."""
+    best, items = selected(np.array(hashes, np.uint64), np.array(words, np.int64), item_words, run_words)
+    return {i: int(items[i]) for i in np.unique(best).tolist()}
+
+
+def hashed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Per document: key, digest, its plain text, and its fingerprints as arrays of item, byte, word and line number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2, SLICE_BYTES):
-            lines, items, firsts = [], [], []
+            texts, items, places, words, lines = [], [], [], [], []
             for t in part.column(2).to_pylist():
-                _, hashes, words = line_table(t)
-                chosen = fingerprints(hashes, words)
-                lines.append(_signed(hashes))
-                items.append(_signed(list(chosen.values())))
-                firsts.append(np.array(list(chosen), np.int32))
-            arrays = [pa.array(a, pa.list_(t)) for a, t in ((lines, pa.int64()), (items, pa.int64()), (firsts, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["key", "digest", "lines", "items", "firsts"])
+                raw = plain(t)
+                hashes, at = word_hashes(raw)
+                best, found = selected(hashes, np.ones(len(hashes), np.int64))
+                firsts = np.unique(best)
+                breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == _LINE)
+                texts.append(raw)
+                items.append(found[firsts].view(np.int64))
+                places.append(at[firsts].astype(np.int32))
+                words.append(firsts.astype(np.int32))
+                lines.append((np.searchsorted(breaks, at[firsts]) - 1).astype(np.int32))
+            arrays = [pa.array(items, pa.list_(pa.int64())), *(pa.array(a, pa.list_(pa.int32())) for a in (places, words, lines))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary()), *arrays], names=["key", "digest", "plain", "item", "place", "word", "line"])
 
     rows = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(
         F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).cast("string").alias("text")
     )
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, digest bigint, lines array<bigint>, items array<bigint>, firsts array<int>")
+    return rows.mapInArrow(run, f"key {kind}, digest bigint, plain binary, item array<bigint>, place array<int>, word array<int>, line array<int>")
 
 
 def extend(mine: np.ndarray, theirs: np.ndarray, seeds: list[int]) -> list[tuple[int, int]]:
-    """Maximal runs (first and last line) of equal lines that hold a seed; both arrays are aligned on the diagonal."""
-    breaks = np.flatnonzero(np.r_[True, mine != theirs, True])  # a run lies between two breaks
-    at = np.unique(np.searchsorted(breaks, np.asarray(seeds) + 1, side="right"))
-    return [(int(breaks[i - 1]), int(breaks[i]) - 2) for i in at if breaks[i] - breaks[i - 1] > 1]
-
+    """Maximal runs of equal whole words that hold a seed, as the bytes of the gaps before and after them.
 
-def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Runs to delete: key, digest, first and last line (among lines with a word), and where the run stands first."""
-    hashed = stage(hashed_lines(documents, key, text).dropDuplicates(["key", "digest"]), "lines")
-    prints = hashed.select("key", "digest", F.explode(F.arrays_zip("items", "firsts")).alias("p")).select("key", "digest", F.col("p.items").alias("item"), F.col("p.firsts").alias("line"))
-    place = F.struct("key", "digest", "line")
-    first = prints.groupBy("item").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = prints.join(first, "item").where(place != F.col("source"))
-    seeds = later.groupBy("key", "digest", F.col("source.key").alias("source_key"), F.col("source.digest").alias("source_digest"), (F.col("line") - F.col("source.line")).alias("shift")).agg(
-        F.collect_set("line").alias("seeds")  # of one text, on one diagonal
+    Both are plain texts, cut so that they are aligned on the diagonal; a seed is the first byte of a word.
+    """
+    breaks = np.flatnonzero(np.r_[True, mine != theirs, True])  # equal bytes lie between two breaks
+    at = np.unique(np.searchsorted(breaks, np.asarray(seeds) + 1, side="right"))
+    gaps = np.flatnonzero(mine == _GAP)
+    found = []
+    for low, high in zip(breaks[at - 1].tolist(), breaks[at].tolist()):
+        a, b = np.searchsorted(gaps, [low, high - 1])
+        if b - a > ITEM_WORDS:
+            found.append((int(gaps[a]), int(gaps[b - 1])))
+    return found
+
+
+def _runs(hashed: DataFrame, later: DataFrame) -> DataFrame:
+    """Runs around places (``key``, ``digest``, ``place``, ``source``) that are equal at their source."""
+    seeds = later.withColumn("shift", F.col("place") - F.col("source.place")).groupBy(
+        "key", "digest", F.col("source.key").alias("source_key"), F.col("source.digest").alias("source_digest"), "shift"
+    ).agg(
+        F.collect_set("place").alias("seeds"),  # of one text, on one diagonal
+        F.min(F.struct("source.place", "source.word", "source.line")).alias("anchor"),
     )
-    own = hashed.select("key", "digest", F.col("lines").alias("mine"))
-    theirs = hashed.select(F.col("key").alias("source_key"), F.col("digest").alias("source_digest"), F.col("lines").alias("theirs"))
-    # both arrays cut to the lines that meet on the diagonal: no longer than the document's own lines
+    seeds = stage(seeds, "seeds")
+    keys = seeds.select("key", "digest").unionByName(seeds.select(F.col("source_key").alias("key"), F.col("source_digest").alias("digest"))).distinct()
+    texts = hashed.select("key", "digest", "plain").join(small(stage(keys, "keys")), ["key", "digest"], "left_semi")
+    own = texts.withColumnRenamed("plain", "mine")
+    theirs = texts.select(F.col("key").alias("source_key"), F.col("digest").alias("source_digest"), F.col("plain").alias("theirs"))
+    # the source is cut to the bytes that meet on the diagonal: no longer than the document's own
     low = F.greatest(F.col("shift"), F.lit(0))
-    size = F.least(F.size("mine") - low, F.size("theirs") - (low - F.col("shift")))
+    size = F.least(F.length("mine") - low, F.length("theirs") - (low - F.col("shift")))
     pairs = seeds.join(own, ["key", "digest"]).join(theirs, ["source_key", "source_digest"]).select(
-        "key", "digest", "source_key", "source_digest", "shift", "seeds",
-        F.slice("mine", low + 1, size).alias("mine"), F.slice("theirs", low - F.col("shift") + 1, size).alias("theirs"),
+        "key", "digest", "source_key", "source_digest", "shift", "seeds", "anchor.place", "anchor.word", "anchor.line", "mine",
+        F.substring("theirs", low - F.col("shift") + 1, size).alias("theirs"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
-            shifts, seeds = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            for i, (shift, seed) in enumerate(zip(shifts, seeds)):
+            for i in range(batch.num_rows):
+                shift, seeds, place, word, line = (batch.column(c)[i].as_py() for c in range(4, 9))
                 low = max(shift, 0)
-                mine, theirs = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (6, 7))
-                for a, b in extend(mine, theirs, [s - low for s in seed]):
+                raw = np.frombuffer(batch.column(9)[i].as_buffer(), np.uint8)
+                mine, theirs = (np.frombuffer(x.as_py().translate(_ONE_GAP), np.uint8) for x in (batch.column(9)[i], batch.column(10)[i]))
+                gaps, breaks = np.flatnonzero(mine == _GAP), np.flatnonzero(raw == _LINE)
+                source = np.frombuffer(batch.column(10)[i].as_buffer(), np.uint8)
+                for a, b in extend(mine[low : low + len(theirs)], theirs, [s - low for s in seeds]):
+                    first, last = np.searchsorted(gaps, [a + low, b + low])
+                    first_line, last_line = np.searchsorted(breaks, [a + low + 1, b + low]) - 1
+                    # words and lines of the source are counted from the anchor, which lies on the same diagonal
+                    begin, known = a + 1, place + shift - low
+                    between = slice(min(begin, known), max(begin, known))
+                    sign = 1 if begin >= known else -1
+                    source_line = line + sign * int((source[between] == _LINE).sum())
+                    source_word = word + sign * int(((source[between] == _GAP) | (source[between] == _LINE)).sum())
                     rows.append(i)
-                    found.append((a + low, b + low, a + low - shift))
+                    found.append((int(first_line), int(last_line), source_line, int(first), int(last) - 1, source_word))
             taken = batch.select([0, 1, 2, 3]).take(pa.array(rows, pa.int64()))
-            new = [pa.array([f[c] for f in found], pa.int32()) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *new], names=["key", "digest", "source_key", "source_digest", "first_line", "last_line", "source_line"])
+            new = [pa.array([f[c] for f in found], pa.int32()) for c in range(6)]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *new], names=["key", "digest", "source_key", "source_digest", *_PLACES])
 
     kind = hashed.schema["key"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"key {kind}, digest bigint, source_key {kind}, source_digest bigint, first_line int, last_line int, source_line int").distinct()
+    return pairs.mapInArrow(run, f"key {kind}, digest bigint, source_key {kind}, source_digest bigint, " + ", ".join(f"{c} int" for c in _PLACES))
+
+
+_PLACES = ("first_line", "last_line", "source_line", "first_word", "last_word", "source_word")
+
+
+def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Runs to delete: key, digest, first and last word and their lines (among lines with a word), and where the run stands first."""
+    hashed = stage(hashed_words(documents, key, text).dropDuplicates(["key", "digest"]), "words")
+    prints = hashed.select("key", "digest", F.explode(F.arrays_zip("item", "place", "word", "line")).alias("p")).select("key", "digest", "p.*")
+    place = F.struct("key", "digest", "place", "word", "line")
+    first = prints.groupBy("item").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return _runs(hashed, prints.join(first, "item").where(place != F.col("source"))).distinct()
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:
     """``documents`` without repeated runs, all columns and rows kept; ``drop_emptied``: but for rows that lose their last line."""
-    runs = repeated_runs(documents, key, text).groupBy("key", "digest").agg(F.collect_set(F.struct("first_line", "last_line")).alias("runs"))
+    runs = repeated_runs(documents, key, text).groupBy("key", "digest").agg(F.collect_set(F.struct("first_word", "last_word")).alias("runs"))
     columns = documents.columns
     run_key, run_digest, cuts = (free_name(columns, c) for c in ("run_key", "run_digest", "runs"))
     runs = runs.select(F.col("key").alias(run_key), F.col("digest").alias(run_digest), F.col("runs").alias(cuts))
@@ -178,7 +209,17 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", drop_em
 
 
 def without(text: str, runs: list[dict]) -> str:
-    """A text without the lines of ``runs``, which count lines with a word."""
-    places = line_table(text)[0]
-    gone = {places[i] for r in runs for i in range(r["first_line"], r["last_line"] + 1)}
-    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+    """A text without the words of ``runs``; lines that lose all their words go, others without the space after a lost word."""
+    gone = {i for r in runs for i in range(r["first_word"], r["last_word"] + 1)}
+    left, n = [], 0
+    for line in text.split("\n"):
+        spans = [m.span() for m in _WORD.finditer(line)]
+        stay = [i for i in range(len(spans)) if n + i not in gone]
+        n += len(spans)
+        if len(stay) == len(spans):
+            left.append(line)
+        elif stay:
+            ends = [a for a, _ in spans[1:]] + [len(line)]
+            part = "".join(line[spans[i][0] : ends[i]] for i in stay)
+            left.append(line[: spans[0][0]] + (part if stay[-1] == len(spans) - 1 else part.rstrip()))
+    return "\n".join(left)

@@ -105,6 +105,6 @@ def op10_toxicity(spark, sf_dir):
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark, sf_dir):
-    """Every run of lines that is deleted, with the document and line where it stands first."""
+    """Every run of words that is deleted and its lines, with the document, line and word where it stands first."""
     runs = line_dedup.repeated_runs(table(spark, sf_dir, "documents"))
-    return runs.select(F.col("key").alias("doc_id"), "first_line", "last_line", F.col("source_key").alias("source_doc_id"), "source_line")
+    return runs.select(F.col("key").alias("doc_id"), "first_line", "last_line", F.col("source_key").alias("source_doc_id"), "source_line", "first_word", "last_word", "source_word")

@@ -230,6 +230,48 @@ def test_winnowing_guarantee():
         assert prints[0] & prints[1]
 
 
+def brute_word_runs(text, n=line_dedup.RUN_WORDS):
+    words = (text or "").split()
+    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def test_line_dedup_finds_passages_inside_lines(spark):
+    r = random.Random(8)
+    line = lambda n: " ".join(f"{r.choice('äbcdefgh')}{r.randrange(900)}" for _ in range(n))
+    shared = [line(50).split(" ") for _ in range(3)] + [line(90).split(" ")]
+    texts, planted = [], []
+    for i in range(24):
+        p = shared[i % 4]
+        cut = r.randrange(1, len(p))
+        inside = " ".join(p) if i % 3 else " ".join(p[:cut]) + "\n \n" + "  ".join(p[cut:])
+        before, after = line(r.randrange(0, 30)), line(r.randrange(0, 30))
+        texts.append(f"{line(6)}\n{before} {inside} {after}\nlast {line(4)}")
+        planted.append((before.split(), after.split(), p))
+    texts.append(" ".join(shared[0]) + " " + line(3))
+    docs = frame(spark, list(enumerate(texts)))
+    got = {x.doc_id: x.text for x in line_dedup.dedup(docs).collect()}
+    assert all(got[i] == texts[i] for i in range(4))
+    for i, (before, after, p) in enumerate(planted):
+        if i >= 4:
+            own = texts[i].split("\n")
+            assert got[i].split() == own[0].split() + before + after + own[-1].split()
+    assert got[24].split() == texts[24].split()[50:]
+    found = line_dedup.repeated_runs(docs).collect()
+    assert len({(x.key, x.first_word, x.last_word) for x in found}) == 21
+    for x in found:
+        mine, theirs = texts[x.key].split(), texts[x.source_key].split()
+        n = x.last_word - x.first_word + 1
+        assert mine[x.first_word : x.last_word + 1] == theirs[x.source_word : x.source_word + n] and n >= 50
+        for text, word, at in ((texts[x.key], x.first_word, x.first_line), (texts[x.key], x.last_word, x.last_line), (texts[x.source_key], x.source_word, x.source_line)):
+            lines = [i for i, y in enumerate([y for y in text.split("\n") if y.split()]) for _ in y.split()]
+            assert lines[word] == at
+    seen = set()
+    for i in range(25):
+        own = brute_word_runs(got[i])
+        assert not seen & set(own)
+        seen |= set(own)
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     sf = "/root/testdata/sf0.1"
