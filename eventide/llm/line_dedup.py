@@ -7,9 +7,14 @@ fingerprint, wherever they stand.
 
 Each fingerprint is joined with its first occurrence in the order of (key, digest of the text, place); never all pairs.
 Both texts, with one character between words, are then compared on that diagonal, and the match is extended both ways as
-far as whole words are equal. The run is deleted from the later place. So a deleted run always has at least
+far as whole words are equal, within the windows that select its fingerprints: whatever lies beyond is in other windows.
+The run is deleted from the later place. So a deleted run always has at least
 ``ITEM_WORDS`` words and stands at an earlier place, and of content that repeats the first occurrence is never deleted.
 
+The first occurrence of a fingerprint may stand in other words than the passage that repeats. Windows that the match with
+it leaves uncovered are therefore joined with their own first occurrence, by a hash of the window, and extended alike. A
+window is uncovered in all its places or in none, so its first place is among them.
+
 Cases: null and empty texts and texts shorter than a window lose nothing; rows with a null key are passed on as they are
 and are no source; rows with equal key and text are one document and keep or lose the same words; a text that repeats its
 own words keeps the first ones; lines without a word stay, lines that lose all their words go; other columns are passed
@@ -24,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,31 +87,42 @@ def fingerprints(hashes: list[int], words: list[int], item_words: int = ITEM_WOR
     return {i: int(items[i]) for i in np.unique(best).tolist()}
 
 
+_PRINTS = ("item", "place", "word", "line", "back", "windows", "low", "high")
+_PLACES = ("first_line", "last_line", "source_line", "first_word", "last_word", "source_word")
+_WINDOW = ("place", "word", "line", "high")
+
+
 def hashed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: key, digest, its plain text, and its fingerprints as arrays of item, byte, word and line number."""
+    """Per document: key, digest, its plain text, and its fingerprints as arrays of item, byte, word and line number.
+
+    ``windows`` consecutive windows select a fingerprint, the first of which begins ``back`` words before it; they and every
+    run of fewer words around it lie between the gaps ``low`` and ``high``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2, SLICE_BYTES):
-            texts, items, places, words, lines = [], [], [], [], []
+            texts, items, numbers = [], [], [[] for _ in _PRINTS[1:]]
             for t in part.column(2).to_pylist():
                 raw = plain(t)
                 hashes, at = word_hashes(raw)
                 best, found = selected(hashes, np.ones(len(hashes), np.int64))
-                firsts = np.unique(best)
-                breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == _LINE)
+                firsts, low, n = np.unique(best, return_index=True, return_counts=True)
+                breaks, gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == _LINE), np.r_[at - 1, len(raw) - 1]
                 texts.append(raw)
                 items.append(found[firsts].view(np.int64))
-                places.append(at[firsts].astype(np.int32))
-                words.append(firsts.astype(np.int32))
-                lines.append((np.searchsorted(breaks, at[firsts]) - 1).astype(np.int32))
-            arrays = [pa.array(items, pa.list_(pa.int64())), *(pa.array(a, pa.list_(pa.int32())) for a in (places, words, lines))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary()), *arrays], names=["key", "digest", "plain", "item", "place", "word", "line"])
+                least = gaps[np.minimum(low, np.maximum(firsts - ITEM_WORDS, 0))]
+                most = gaps[np.minimum(np.maximum(low + n - 1 + RUN_WORDS, firsts + RUN_WORDS), len(at))]
+                lines = np.searchsorted(breaks, at[firsts]) - 1
+                for own, new in zip(numbers, (at[firsts], firsts, lines, firsts - low, n, least, most)):
+                    own.append(new.astype(np.int32))
+            arrays = [pa.array(items, pa.list_(pa.int64())), *(pa.array(a, pa.list_(pa.int32())) for a in numbers)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary()), *arrays], names=["key", "digest", "plain", *_PRINTS])
 
     rows = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(
         F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).cast("string").alias("text")
     )
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, digest bigint, plain binary, item array<bigint>, place array<int>, word array<int>, line array<int>")
+    return rows.mapInArrow(run, f"key {kind}, digest bigint, plain binary, item array<bigint>, " + ", ".join(f"{c} array<int>" for c in _PRINTS[1:]))
 
 
 def extend(mine: np.ndarray, theirs: np.ndarray, seeds: list[int]) -> list[tuple[int, int]]:
@@ -125,65 +142,81 @@ def extend(mine: np.ndarray, theirs: np.ndarray, seeds: list[int]) -> list[tuple
 
 
 def _runs(hashed: DataFrame, later: DataFrame) -> DataFrame:
-    """Runs around places (``key``, ``digest``, ``place``, ``source``) that are equal at their source."""
+    """Runs around places (``key``, ``digest``, ``place``, ``source``) that are equal at their source.
+
+    Rows with a ``mark`` are the windows, as far as the places have any, that no run covers: a hash and where they begin.
+    """
     seeds = later.withColumn("shift", F.col("place") - F.col("source.place")).groupBy(
         "key", "digest", F.col("source.key").alias("source_key"), F.col("source.digest").alias("source_digest"), "shift"
     ).agg(
-        F.collect_set("place").alias("seeds"),  # of one text, on one diagonal
-        F.min(F.struct("source.place", "source.word", "source.line")).alias("anchor"),
+        F.collect_set(F.struct("place", "back", "windows")).alias("seeds"),  # of one text, on one diagonal
+        F.min("low").alias("low"), F.max("high").alias("high"),
+        F.min(F.struct("place", "word", "line", F.col("source.word").alias("source_word"), F.col("source.line").alias("source_line"))).alias("anchor"),
     )
     seeds = stage(seeds, "seeds")
     keys = seeds.select("key", "digest").unionByName(seeds.select(F.col("source_key").alias("key"), F.col("source_digest").alias("digest"))).distinct()
-    texts = hashed.select("key", "digest", "plain").join(small(stage(keys, "keys")), ["key", "digest"], "left_semi")
-    own = texts.withColumnRenamed("plain", "mine")
+    texts = hashed.select("key", "digest", "plain").join(small(stage(keys, "keys")), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
     theirs = texts.select(F.col("key").alias("source_key"), F.col("digest").alias("source_digest"), F.col("plain").alias("theirs"))
-    # the source is cut to the bytes that meet on the diagonal: no longer than the document's own
-    low = F.greatest(F.col("shift"), F.lit(0))
-    size = F.least(F.length("mine") - low, F.length("theirs") - (low - F.col("shift")))
-    pairs = seeds.join(own, ["key", "digest"]).join(theirs, ["source_key", "source_digest"]).select(
-        "key", "digest", "source_key", "source_digest", "shift", "seeds", "anchor.place", "anchor.word", "anchor.line", "mine",
-        F.substring("theirs", low - F.col("shift") + 1, size).alias("theirs"),
-    )
+    # both texts are cut to the bytes that meet on the diagonal between the outer gaps
+    columns = ["key", "digest", "source_key", "source_digest", "shift", "seeds", "low", "anchor"]
+    own = seeds.join(texts, ["key", "digest"]).select(*columns, F.substring("plain", F.col("low") + 1, F.col("high") - F.col("low") + 1).alias("mine"))
+    cut = F.greatest(F.col("shift"), F.col("low"))
+    size = F.length("mine") - (cut - F.col("low"))
+    pairs = own.join(theirs, ["source_key", "source_digest"]).select(*columns, "mine", F.substring("theirs", cut - F.col("shift") + 1, size).alias("theirs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for i in range(batch.num_rows):
-                shift, seeds, place, word, line = (batch.column(c)[i].as_py() for c in range(4, 9))
-                low = max(shift, 0)
-                raw = np.frombuffer(batch.column(9)[i].as_buffer(), np.uint8)
-                mine, theirs = (np.frombuffer(x.as_py().translate(_ONE_GAP), np.uint8) for x in (batch.column(9)[i], batch.column(10)[i]))
-                gaps, breaks = np.flatnonzero(mine == _GAP), np.flatnonzero(raw == _LINE)
-                source = np.frombuffer(batch.column(10)[i].as_buffer(), np.uint8)
-                for a, b in extend(mine[low : low + len(theirs)], theirs, [s - low for s in seeds]):
-                    first, last = np.searchsorted(gaps, [a + low, b + low])
-                    first_line, last_line = np.searchsorted(breaks, [a + low + 1, b + low]) - 1
-                    # words and lines of the source are counted from the anchor, which lies on the same diagonal
-                    begin, known = a + 1, place + shift - low
-                    between = slice(min(begin, known), max(begin, known))
-                    sign = 1 if begin >= known else -1
-                    source_line = line + sign * int((source[between] == _LINE).sum())
-                    source_word = word + sign * int(((source[between] == _GAP) | (source[between] == _LINE)).sum())
+                shift, seeds, low, anchor, mine, theirs = (batch.column(c)[i].as_py() for c in range(4, 10))
+                cut = max(shift - low, 0)
+                at = anchor["place"] - low
+                # gaps and lines before a byte; words and lines are counted from the anchor
+                (gaps, breaks), (their_gaps, their_breaks) = ((np.flatnonzero((x == _GAP) | (x == _LINE)), np.flatnonzero(x == _LINE)) for x in (np.frombuffer(t, np.uint8) for t in (mine, theirs)))
+                steps = lambda marks, a, b: int(np.searchsorted(marks, b) - np.searchsorted(marks, a))
+                a1, b1 = (np.frombuffer(t.translate(_ONE_GAP), np.uint8) for t in (mine[cut : cut + len(theirs)], theirs))
+                equal = [(a + cut, b + cut) for a, b in extend(a1, b1, [s["place"] - low - cut for s in seeds])]
+                for a, b in equal:
+                    first, last = np.searchsorted(gaps, [a, b])
+                    first_word = anchor["word"] + steps(gaps, at, a + 1)
+                    first_line, last_line = (anchor["line"] + steps(breaks, at, x + 1) for x in (a, int(gaps[last - 1])))
+                    source_line = anchor["source_line"] + steps(their_breaks, at - cut, a + 1 - cut)
+                    source_word = anchor["source_word"] + steps(their_gaps, at - cut, a + 1 - cut)
                     rows.append(i)
-                    found.append((int(first_line), int(last_line), source_line, int(first), int(last) - 1, source_word))
+                    found.append((first_line, last_line, source_line, first_word, first_word + int(last - first) - 1, source_word, *[None] * 5))
+                for seed in seeds:
+                    if seed["windows"]:
+                        place = seed["place"] - low
+                        a, b = next(((a, b) for a, b in equal if a < place < b), (len(mine), 0))
+                        own = int(np.searchsorted(gaps, place - 1)) - seed["back"]
+                        for s in range(own, own + seed["windows"]):
+                            begin, end = int(gaps[s]), int(gaps[s + RUN_WORDS])
+                            if begin < a or end > b:
+                                mark = xxhash.xxh3_64_intdigest(mine[begin : end + 1].translate(_ONE_GAP)) - (1 << 63)
+                                rows.append(i)
+                                found.append((*[None] * 6, mark, begin + 1 + low, anchor["word"] + steps(gaps, at, begin + 1), anchor["line"] + steps(breaks, at, begin + 1), end + low))
             taken = batch.select([0, 1, 2, 3]).take(pa.array(rows, pa.int64()))
-            new = [pa.array([f[c] for f in found], pa.int32()) for c in range(6)]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *new], names=["key", "digest", "source_key", "source_digest", *_PLACES])
+            new = [pa.array([f[c] for f in found], pa.int64() if c == 6 else pa.int32()) for c in range(11)]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *new], names=["key", "digest", "source_key", "source_digest", *_PLACES, "mark", *_WINDOW])
 
     kind = hashed.schema["key"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"key {kind}, digest bigint, source_key {kind}, source_digest bigint, " + ", ".join(f"{c} int" for c in _PLACES))
-
-
-_PLACES = ("first_line", "last_line", "source_line", "first_word", "last_word", "source_word")
+    return pairs.mapInArrow(run, f"key {kind}, digest bigint, source_key {kind}, source_digest bigint, " + ", ".join(f"{c} int" for c in _PLACES) + ", mark bigint, " + ", ".join(f"{c} int" for c in _WINDOW))
 
 
 def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Runs to delete: key, digest, first and last word and their lines (among lines with a word), and where the run stands first."""
-    hashed = stage(hashed_words(documents, key, text).dropDuplicates(["key", "digest"]), "words")
-    prints = hashed.select("key", "digest", F.explode(F.arrays_zip("item", "place", "word", "line")).alias("p")).select("key", "digest", "p.*")
+    hashed = stage(hashed_words(documents, key, text), "words")
+    prints = hashed.select("key", "digest", F.explode(F.arrays_zip(*_PRINTS)).alias("p")).select("key", "digest", "p.*")
     place = F.struct("key", "digest", "place", "word", "line")
-    first = prints.groupBy("item").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return _runs(hashed, prints.join(first, "item").where(place != F.col("source"))).distinct()
+    first = prints.groupBy("item").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1")
+    later = prints.join(first, "item").where(place != F.col("source"))
+    # of two places the later has no other source
+    found = stage(_runs(hashed, later.withColumn("windows", F.when(F.col("n") > 2, F.col("windows")).otherwise(0))), "found")
+    windows = found.where("mark is not null").select("key", "digest", "mark", *_WINDOW).distinct()
+    first = windows.groupBy("mark").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(first, "mark").where(place != F.col("source")).selectExpr("*", "place - 1 as low", "0 as back", "0 as windows")
+    runs = found.where("mark is null").unionByName(_runs(hashed, later))
+    return runs.select("key", "digest", "source_key", "source_digest", *_PLACES).distinct()
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:

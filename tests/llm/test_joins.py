@@ -272,6 +272,30 @@ def test_line_dedup_finds_passages_inside_lines(spark):
         seen |= set(own)
 
 
+def test_line_dedup_finds_passages_around_a_line_that_stood_alone(spark):
+    r = random.Random(9)
+    line = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(900)}" for _ in range(n))
+    texts, pairs = [], []
+    for _ in range(12):  # in some of them the window's minimum lies in the line that stood alone
+        alone, x, y = line(40), line(15), line(15)
+        at = len(texts)
+        texts += [f"{line(15)}\n{alone}\n{line(15)}", f"{line(4)}\n{x}\n{alone}\n{line(4)}", f"{line(5)} {x}\n{alone} {line(5)}", f"{line(7)}\n{alone} {y}\n{line(4)}", f"{alone}\n{y} {line(9)}"]
+        pairs += [(at + 1, at + 2), (at + 3, at + 4)]
+    docs = frame(spark, list(enumerate(texts)))
+    got = {x.doc_id: x.text for x in line_dedup.dedup(docs).collect()}
+    first = {}
+    for i, t in enumerate(texts):  # every word of a run of 50 words that stood earlier goes
+        words, gone = t.split(), set()
+        for a, w in enumerate(brute_word_runs(t)):
+            if first.setdefault(w, i) < i:
+                gone |= set(range(a, a + 50))
+        kept = [x for j, x in enumerate(words) if j not in gone]
+        it = iter(kept)
+        assert all(x in it for x in got[i].split())
+    for _, j in pairs:
+        assert len(got[j].split()) == len(texts[j].split()) - 55
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     sf = "/root/testdata/sf0.1"
