@@ -1,7 +1,8 @@
-"""License scans: ordered signature rules behind a keyword filter, with suppression of weaker overlapping detections.
+"""License scans: ordered signature rules behind a filter of implied literals, with suppression of weaker overlapping detections.
 
 Texts are cut into words: A-Z lower-cased, words are runs of letters, digits and all characters beyond ASCII. Rules are
-regular expressions over the words joined by single spaces. A rule is tried only if its keyword is in the text. Of all
+regular expressions over the words joined by single spaces. A rule is tried only if the text holds the literals that its
+expression implies: of each of some sets of them every match has one. Of all
 detections, those of the best priority come first (then the longer, then the earlier); a detection whose words lie
 within the words of an accepted one is suppressed. The score is ``1 - product(1 - weight)`` over accepted detections.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from re import _parser
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,50 +31,50 @@ SLICE_BYTES = 16_000_000
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Families: label, keyword, how the name is written (regex over words), identifier words, words of its web address.
+# Families: label, how the name is written (regex over words), identifier words, words of its web address.
 FAMILIES = [
-    ("agpl", "affero", r"(?:gnu )?affero general public", r"agpl(?: \d)?(?: \d)?(?: only| or later)?", r"gnu org licenses agpl"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public", r"lgpl(?: \d)?(?: \d)?(?: only| or later)?", r"gnu org (?:licenses|copyleft) (?:lgpl|lesser)"),
-    ("gpl", "general public", r"(?:gnu )?general public", r"gpl(?: \d)?(?: \d)?(?: only| or later)?", r"gnu org (?:licenses|copyleft) gpl"),
-    ("fdl", "documentation", r"(?:gnu )?free documentation", r"gfdl(?: \d)?(?: \d)?", r"gnu org licenses fdl"),
-    ("apache", "apache", r"apache(?: software)?", r"apache(?: \d)?(?: \d)?", r"apache org licenses"),
-    ("mit", "mit", r"(?:the )?mit(?: x11)?", r"mit(?: 0)?", r"opensource org licenses mit"),
-    ("bsd", "bsd", r"(?:(?:2|3|4|two|three|four) clause |(?:new|modified|simplified) )?bsd", r"(?:0)?bsd(?: \d clause)?", r"opensource org licenses bsd"),
-    ("mpl", "mozilla", r"mozilla public", r"mpl(?: \d)?(?: \d)?", r"mozilla org mpl"),
-    ("epl", "eclipse", r"eclipse public", r"epl(?: \d)?(?: \d)?", r"eclipse org legal epl"),
-    ("edl", "eclipse", r"eclipse distribution", r"edl(?: \d)?(?: \d)?", r"eclipse org (?:org )?documents edl"),
-    ("cddl", "distribution", r"common development and distribution", r"cddl(?: \d)?(?: \d)?", r"opensource org licenses cddl"),
-    ("cpl", "common public", r"common public", r"cpl(?: \d)?(?: \d)?", r"opensource org licenses cpl"),
-    ("isc", "isc", r"isc", r"isc", r"opensource org licenses isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?", r"zlib(?: acknowledgement)?", r"zlib net zlib license"),
-    ("boost", "boost", r"boost software", r"bsl 1 0", r"boost org license"),
-    ("artistic", "artistic", r"(?:perl )?artistic", r"artistic(?: \d)?(?: \d)?", r"opensource org licenses artistic"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense", r"unlicense", r"unlicense org"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public", r"wtfpl", r"wtfpl net"),
-    ("python", "python", r"python(?: software foundation)?", r"(?:python|psf)(?: \d)?(?: \d)?", r"python org (?:psf )?license"),
-    ("ruby", "ruby", r"ruby", r"ruby", r"ruby lang org (?:en )?license"),
-    ("php", "php", r"php", r"php(?: \d)?(?: \d+)?", r"php net license"),
-    ("ofl", "open font", r"(?:sil )?open font", r"ofl(?: \d)?(?: \d)?", r"scripts sil org ofl"),
-    ("openssl", "openssl", r"openssl", r"openssl", r"openssl org source license"),
-    ("postgresql", "postgresql", r"postgresql", r"postgresql", r"postgresql org about licence"),
-    ("ncsa", "illinois", r"(?:university of )?illinois(?: ncsa)?(?: open source)?", r"ncsa", r"opensource org licenses ncsa"),
-    ("mspl", "microsoft", r"microsoft public", r"ms pl", r"opensource org licenses ms pl"),
-    ("msrl", "microsoft", r"microsoft reciprocal", r"ms rl", r"opensource org licenses ms rl"),
-    ("eupl", "european union", r"european union public", r"eupl(?: \d)?(?: \d)?", r"eupl eu"),
-    ("osl", "open software", r"open software", r"osl(?: \d)?(?: \d)?", r"opensource org licenses osl"),
-    ("afl", "academic free", r"academic free", r"afl(?: \d)?(?: \d)?", r"opensource org licenses afl"),
-    ("qpl", "q public", r"q public", r"qpl(?: \d)?(?: \d)?", r"opensource org licenses qpl"),
-    ("cecill", "cecill", r"cecill(?: [bc])?", r"cecill(?: [bc])?(?: \d)?(?: \d)?", r"cecill info"),
-    ("odbl", "open database", r"open (?:data commons )?(?:open )?database", r"odbl(?: \d)?(?: \d)?", r"opendatacommons org licenses odbl"),
-    ("sspl", "server side public", r"server side public", r"sspl(?: \d)?(?: \d)?", r"mongodb com licensing server side public license"),
-    ("busl", "business source", r"business source", r"busl(?: \d)?(?: \d)?", r"mariadb com bsl"),
-    ("cc0", "cc0", r"cc0(?: \d \d)?|creative commons zero", r"cc0(?: \d)?(?: \d)?", r"creativecommons org publicdomain zero"),
-    ("cc-by-nc-nd", "nc", r"cc by nc nd(?: \d \d)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s", r"cc by nc nd(?: \d)?(?: \d)?", r"creativecommons org licenses by nc nd"),
-    ("cc-by-nc-sa", "nc", r"cc by nc sa(?: \d \d)?|creative commons attribution non ?commercial share ?alike", r"cc by nc sa(?: \d)?(?: \d)?", r"creativecommons org licenses by nc sa"),
-    ("cc-by-nc", "nc", r"cc by nc(?: \d \d)?|creative commons attribution non ?commercial", r"cc by nc(?: \d)?(?: \d)?", r"creativecommons org licenses by nc"),
-    ("cc-by-nd", "nd", r"cc by nd(?: \d \d)?|creative commons attribution no ?deriv(?:ative)?s", r"cc by nd(?: \d)?(?: \d)?", r"creativecommons org licenses by nd"),
-    ("cc-by-sa", "sa", r"cc by sa(?: \d \d)?|creative commons attribution share ?alike", r"cc by sa(?: \d)?(?: \d)?", r"creativecommons org licenses by sa"),
-    ("cc-by", "by", r"cc by(?: \d \d)?|creative commons attribution", r"cc by(?: \d)?(?: \d)?", r"creativecommons org licenses by"),
+    ("agpl", r"(?:gnu )?affero general public", r"agpl(?: \d)?(?: \d)?(?: only| or later)?", r"gnu org licenses agpl"),
+    ("lgpl", r"(?:gnu )?(?:lesser|library) general public", r"lgpl(?: \d)?(?: \d)?(?: only| or later)?", r"gnu org (?:licenses|copyleft) (?:lgpl|lesser)"),
+    ("gpl", r"(?:gnu )?general public", r"gpl(?: \d)?(?: \d)?(?: only| or later)?", r"gnu org (?:licenses|copyleft) gpl"),
+    ("fdl", r"(?:gnu )?free documentation", r"gfdl(?: \d)?(?: \d)?", r"gnu org licenses fdl"),
+    ("apache", r"apache(?: software)?", r"apache(?: \d)?(?: \d)?", r"apache org licenses"),
+    ("mit", r"(?:the )?mit(?: x11)?", r"mit(?: 0)?", r"opensource org licenses mit"),
+    ("bsd", r"(?:(?:2|3|4|two|three|four) clause |(?:new|modified|simplified) )?bsd", r"(?:0)?bsd(?: \d clause)?", r"opensource org licenses bsd"),
+    ("mpl", r"mozilla public", r"mpl(?: \d)?(?: \d)?", r"mozilla org mpl"),
+    ("epl", r"eclipse public", r"epl(?: \d)?(?: \d)?", r"eclipse org legal epl"),
+    ("edl", r"eclipse distribution", r"edl(?: \d)?(?: \d)?", r"eclipse org (?:org )?documents edl"),
+    ("cddl", r"common development and distribution", r"cddl(?: \d)?(?: \d)?", r"opensource org licenses cddl"),
+    ("cpl", r"common public", r"cpl(?: \d)?(?: \d)?", r"opensource org licenses cpl"),
+    ("isc", r"isc", r"isc", r"opensource org licenses isc"),
+    ("zlib", r"zlib(?: libpng)?", r"zlib(?: acknowledgement)?", r"zlib net zlib license"),
+    ("boost", r"boost software", r"bsl 1 0", r"boost org license"),
+    ("artistic", r"(?:perl )?artistic", r"artistic(?: \d)?(?: \d)?", r"opensource org licenses artistic"),
+    ("unlicense", r"(?:the )?unlicense", r"unlicense", r"unlicense org"),
+    ("wtfpl", r"wtfpl|do what the fuck you want to public", r"wtfpl", r"wtfpl net"),
+    ("python", r"python(?: software foundation)?", r"(?:python|psf)(?: \d)?(?: \d)?", r"python org (?:psf )?license"),
+    ("ruby", r"ruby", r"ruby", r"ruby lang org (?:en )?license"),
+    ("php", r"php", r"php(?: \d)?(?: \d+)?", r"php net license"),
+    ("ofl", r"(?:sil )?open font", r"ofl(?: \d)?(?: \d)?", r"scripts sil org ofl"),
+    ("openssl", r"openssl", r"openssl", r"openssl org source license"),
+    ("postgresql", r"postgresql", r"postgresql", r"postgresql org about licence"),
+    ("ncsa", r"(?:university of )?illinois(?: ncsa)?(?: open source)?", r"ncsa", r"opensource org licenses ncsa"),
+    ("mspl", r"microsoft public", r"ms pl", r"opensource org licenses ms pl"),
+    ("msrl", r"microsoft reciprocal", r"ms rl", r"opensource org licenses ms rl"),
+    ("eupl", r"european union public", r"eupl(?: \d)?(?: \d)?", r"eupl eu"),
+    ("osl", r"open software", r"osl(?: \d)?(?: \d)?", r"opensource org licenses osl"),
+    ("afl", r"academic free", r"afl(?: \d)?(?: \d)?", r"opensource org licenses afl"),
+    ("qpl", r"q public", r"qpl(?: \d)?(?: \d)?", r"opensource org licenses qpl"),
+    ("cecill", r"cecill(?: [bc])?", r"cecill(?: [bc])?(?: \d)?(?: \d)?", r"cecill info"),
+    ("odbl", r"open (?:data commons )?(?:open )?database", r"odbl(?: \d)?(?: \d)?", r"opendatacommons org licenses odbl"),
+    ("sspl", r"server side public", r"sspl(?: \d)?(?: \d)?", r"mongodb com licensing server side public license"),
+    ("busl", r"business source", r"busl(?: \d)?(?: \d)?", r"mariadb com bsl"),
+    ("cc0", r"cc0(?: \d \d)?|creative commons zero", r"cc0(?: \d)?(?: \d)?", r"creativecommons org publicdomain zero"),
+    ("cc-by-nc-nd", r"cc by nc nd(?: \d \d)?|creative commons attribution non ?commercial no ?deriv(?:ative)?s", r"cc by nc nd(?: \d)?(?: \d)?", r"creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", r"cc by nc sa(?: \d \d)?|creative commons attribution non ?commercial share ?alike", r"cc by nc sa(?: \d)?(?: \d)?", r"creativecommons org licenses by nc sa"),
+    ("cc-by-nc", r"cc by nc(?: \d \d)?|creative commons attribution non ?commercial", r"cc by nc(?: \d)?(?: \d)?", r"creativecommons org licenses by nc"),
+    ("cc-by-nd", r"cc by nd(?: \d \d)?|creative commons attribution no ?deriv(?:ative)?s", r"cc by nd(?: \d)?(?: \d)?", r"creativecommons org licenses by nd"),
+    ("cc-by-sa", r"cc by sa(?: \d \d)?|creative commons attribution share ?alike", r"cc by sa(?: \d)?(?: \d)?", r"creativecommons org licenses by sa"),
+    ("cc-by", r"cc by(?: \d \d)?|creative commons attribution", r"cc by(?: \d)?(?: \d)?", r"creativecommons org licenses by"),
 ]
 
 # Forms in which a family is named: priority (lower is better), weight, pattern.
@@ -85,30 +87,26 @@ FORMS = [
     (7, 0.6, r"(?:terms|copy|text|version|conditions) of (?:the )?(?:{name}) licen[sc]es?"),
 ]
 
-# Sentences of license texts, and words that concern licenses in general: label, keyword, priority, weight, pattern.
+# Sentences of license texts, and words that concern licenses in general: label, priority, weight, pattern.
 TEXTS = [
-    ("mit", "hereby granted", 1, 0.99, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", 1, 0.97, r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", 1, 0.98, r"redistributions? (?:and use )?in source and binary forms"),
-    ("bsd", "redistribution", 1, 0.97, r"redistributions of source code must retain the above copyright notice"),
-    ("apache", "apache", 1, 0.98, r"you may not use this file except in compliance with the license"),
-    ("gpl", "redistribute", 1, 0.95, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", 1, 0.97, r"under the terms of the gnu lesser general public license"),
-    ("mpl", "source code form", 1, 0.98, r"this source code form is subject to the terms of the mozilla public license"),
-    ("zlib", "implied warranty", 1, 0.9, r"this software is provided as is without any express or implied warranty"),
-    ("boost", "hereby granted", 1, 0.97, r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
-    ("unlicense", "public domain", 1, 0.97, r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", 6, 0.7, r"(?:released|placed|dedicated)(?: \w+)? (?:in|into|to) the public domain"),
-    ("proprietary", "proprietary", 6, 0.7, r"proprietary and confidential"),
-    ("proprietary", "all rights reserved", 7, 0.5, r"all rights reserved"),
-    ("copyright", "copyright", 8, 0.4, r"copyright (?:c )?(?:19|20)\d\d"),
-    ("no-warranty", "warranty", 8, 0.4, r"without warrant(?:y|ies) (?:of|or) (?:any kind|conditions)"),
+    ("mit", 1, 0.99, r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("isc", 1, 0.97, r"permission to use copy modify and or distribute this software for any purpose"),
+    ("bsd", 1, 0.98, r"redistributions? (?:and use )?in source and binary forms"),
+    ("bsd", 1, 0.97, r"redistributions of source code must retain the above copyright notice"),
+    ("apache", 1, 0.98, r"you may not use this file except in compliance with the license"),
+    ("gpl", 1, 0.95, r"you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("lgpl", 1, 0.97, r"under the terms of the gnu lesser general public license"),
+    ("mpl", 1, 0.98, r"this source code form is subject to the terms of the mozilla public license"),
+    ("zlib", 1, 0.9, r"this software is provided as is without any express or implied warranty"),
+    ("boost", 1, 0.97, r"permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("unlicense", 1, 0.97, r"this is free and unencumbered software released into the public domain"),
+    ("public-domain", 6, 0.7, r"(?:released|placed|dedicated)(?: \w+)? (?:in|into|to) the public domain"),
+    ("proprietary", 6, 0.7, r"proprietary and confidential"),
+    ("proprietary", 7, 0.5, r"all rights reserved"),
+    ("copyright", 8, 0.4, r"copyright (?:c )?(?:19|20)\d\d"),
+    ("no-warranty", 8, 0.4, r"without warrant(?:y|ies) (?:of|or) (?:any kind|conditions)"),
 ]
 
-#: Texts without any of these have no rule to try.
-GATE = (b"licen", b"copyright", b"spdx", b"permission", b"redistribut", b"public domain", b"rights reserved", b"proprietary",
-        b"warrant", b"gnu org", b"creativecommons", b"apache org", b"mozilla org", b"wtfpl", b"released under", b"distributed under")
-
 _SEPARATORS = bytes(range(0x00, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x80))
 _TABLE = bytes(0x20 if b in _SEPARATORS else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -117,7 +115,7 @@ class Rule(NamedTuple):
     priority: int
     weight: float
     label: str
-    keyword: bytes
+    implied: list[tuple[bytes, ...]]
     pattern: re.Pattern
 
 
@@ -131,17 +129,38 @@ class Found(NamedTuple):
 
 def rules() -> list[Rule]:
     """All rules in the order in which they are tried: every family in every form, then the sentences."""
-    found = [
-        Rule(priority, weight, label, keyword.encode(), _whole(form.format(name=name, id=ident, url=url)))
-        for priority, weight, form in FORMS
-        for label, keyword, name, ident, url in FAMILIES
-    ]
-    # an identifier or address needs no name, so the rule's keyword is the first word of what it looks for
-    found = [r._replace(keyword=b"spdx" if r.priority == 2 else b"org" if r.priority == 4 and b" org " in r.pattern.pattern else r.keyword) for r in found]
-    found += [Rule(p, w, label, k.encode(), _whole(x)) for label, k, p, w, x in TEXTS]
+    found = [(priority, weight, label, form.format(name=name, id=ident, url=url)) for priority, weight, form in FORMS for label, name, ident, url in FAMILIES]
+    found += [(p, w, label, x) for label, p, w, x in TEXTS]
+    found = [Rule(p, w, label, implied(x), _whole(x)) for p, w, label, x in found]
     return sorted(found, key=lambda r: r.priority)
 
 
+def implied(pattern: str) -> list[tuple[bytes, ...]]:
+    """Sets of literals, of each of which every match of the pattern holds at least one; the smallest sets first."""
+
+    def of(parts) -> list[tuple[str, ...]]:
+        found, run = [], ""
+        for kind, value in [*parts, (None, None)]:
+            if kind is _parser.LITERAL:
+                run += chr(value)
+                continue
+            if len(run) > 1:
+                found.append((run,))
+            run = ""
+            if kind is _parser.SUBPATTERN:
+                found += of(value[3])
+            elif kind is _parser.MAX_REPEAT and value[0] > 0:
+                found += of(value[2])
+            elif kind is _parser.BRANCH:
+                ways = [of(way) for way in value[1]]
+                if all(ways):
+                    # of each way its most telling set
+                    found.append(tuple(sorted({x for way in ways for x in max(way, key=lambda s: min(map(len, s)))})))
+        return found
+
+    return sorted((tuple(x.encode() for x in s) for s in of(_parser.parse(pattern))), key=len)
+
+
 def _whole(pattern: str) -> re.Pattern:
     return re.compile(rb"(?<![^ ])(?:" + pattern.encode() + rb")(?![^ ])")
 
@@ -167,18 +186,19 @@ def detect(words: list[bytes]) -> list[Found]:
     if not _RULES:
         _RULES.extend(rules())
     line = b" ".join(words)
-    if not any(k in line for k in GATE):
-        return []
     starts, at = [], 0
     for w in words:
         starts.append(at)
         at += len(w) + 1
-    has: dict[bytes, bool] = {}
+    has: dict[tuple[bytes, ...], bool] = {}
     found = []
     for rule in _RULES:
-        if rule.keyword not in has:
-            has[rule.keyword] = rule.keyword in line
-        if has[rule.keyword]:
+        for some in rule.implied:
+            if some not in has:
+                has[some] = any(x in line for x in some)
+            if not has[some]:
+                break
+        else:
             for m in rule.pattern.finditer(line):
                 first, last = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1
                 found.append(Found(rule.label, first, last, rule.priority, rule.weight))

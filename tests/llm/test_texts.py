@@ -114,6 +114,25 @@ def test_license_rules_and_suppression():
     assert licenses.detect(licenses.words_of("the committee met")) == []
 
 
+def test_license_filter_drops_no_detection():
+    texts = ["available under the MIT", "published under Apache 2.0", "covered by the GNU General Public", "scripts.sil.org/OFL", "eclipse.org/legal/epl", "eupl.eu",
+             "mariadb.com/bsl", "GNU Library General Public License", "Creative Commons Zero license", "do what the fuck you want to public license", "zlib.net/zlib_license"]
+    labels = [licenses.scan_text(t)["labels"] for t in texts]
+    assert labels == ["mit", "apache", "gpl", "ofl", "epl", "eupl", "busl", "gpl,lgpl", "cc0", "wtfpl", "zlib"]
+    r, rules = random.Random(4), licenses.rules()
+    words = sorted({w for rule in rules for w in re.findall(r"[a-z0-9]+", rule.pattern.pattern.decode().replace("\\w", "").replace("\\d", "2"))})
+    phrases = [n.replace("(?:", "").replace(")?", "").replace(")", "").split("|")[0] for f in licenses.FAMILIES for n in f[1:]] + ["licensed under the", "spdx license identifier", "license", "available by"]
+    texts += [" ".join(r.choice(phrases) if r.random() < 0.7 else r.choice(words) for _ in range(r.randrange(1, 12))) for _ in range(1500)] + LICENSED
+    for t in texts:
+        words_ = licenses.words_of(t)
+        line, found = b" ".join(words_), []
+        for rule in rules:
+            for m in rule.pattern.finditer(line):
+                first = line[: m.start()].count(b" ")
+                found.append(licenses.Found(rule.label, first, first + m.group().count(b" "), rule.priority, rule.weight))
+        assert licenses.detect(words_) == licenses.suppressed(found), t
+
+
 def test_quality_equals_sql(spark):
     con = compare.connect(SF)
     problem, n = compare.compare(con, queries.QUERIES["op3_quality_rules"](spark, SF), queries.ORACLES["op3_quality_rules"])
