@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import bpe_count, byte_bpe, decontaminate, licenses, line_dedup, line_quality, ngram_join, packing, toxicity, url_model
+from eventide.llm import (bpe_count, byte_bpe, decontaminate, fim, licenses, line_dedup, line_quality, merkle, ngram_join, packing, toxicity,
+                          url_model)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +109,18 @@ def op7_line_dedup(spark, sf_dir):
     """Every run of words that is deleted and its lines, with the document, line and word where it stands first."""
     runs = line_dedup.repeated_runs(table(spark, sf_dir, "documents"))
     return runs.select(F.col("key").alias("doc_id"), "first_line", "last_line", F.col("source_key").alias("source_doc_id"), "source_line", "first_word", "last_word", "source_word")
+
+
+@query("op11_merkle_manifest", merkle.oracle())
+def op11_merkle_manifest(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and whether its leaf, partly tampered with, still folds into the root."""
+    found = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_fill_in_middle", fim.oracle())
+def op13_fill_in_middle(spark, sf_dir):
+    """Every document with its middle at the end, and the text rebuilt from that, as digests."""
+    made = fim.restored(fim.transform(table(spark, sf_dir, "documents")))
+    hashed = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hashed("output").alias("output_sha256"), hashed("restored").alias("restored_sha256"))
