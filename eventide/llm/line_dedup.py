@@ -1,22 +1,25 @@
-"""Line dedup by winnowing: later copies of runs of words are deleted, the first occurrence stays.
-
-A text is a sequence of words, whatever white space and line ends stand between them, so a passage is found wherever it
-begins or ends in a line. An *item* are ``ITEM_WORDS`` words. In every run of ``RUN_WORDS`` words (a window) the item with
-the smallest hash is selected: a fingerprint. Equal runs of ``RUN_WORDS`` words have equal windows, so they share a
-fingerprint, wherever they stand.
-
-Each fingerprint is joined with its first occurrence in the order of (key, digest of the text, place); never all pairs.
-Both texts, with one character between words, are then compared on that diagonal, and the match is extended both ways as
-far as whole words are equal, within the windows that select its fingerprints: whatever lies beyond is in other windows.
-The run is deleted from the later place. So a deleted run always has at least
-``ITEM_WORDS`` words and stands at an earlier place, and of content that repeats the first occurrence is never deleted.
-
-The first occurrence of a fingerprint may stand in other words than the passage that repeats. Windows that the match with
-it leaves uncovered are therefore joined with their own first occurrence, by a hash of the window, and extended alike. A
-window is uncovered in all its places or in none, so its first place is among them.
-
-Cases: null and empty texts and texts shorter than a window lose nothing; rows with a null key are passed on as they are
-and are no source; rows with equal key and text are one document and keep or lose the same words; a text that repeats its
+"""Line dedup by winnowing: later copies of runs of ``RUN_WORDS`` words or more are deleted, the first occurrence stays.
+
+Lines are laid out anew wherever texts are copied, so the units that are hashed are pieces which their words define: a piece
+ends after a word whose hash is the smallest of ``PIECE_WORDS`` consecutive ones. A passage is then cut alike wherever it
+begins or ends in a line and wherever its lines are broken, but for its first and last words. An *item* are as many units as
+it takes to have ``ITEM_WORDS`` words, and in every run of units with ``WINDOW_WORDS`` words the item with the smallest hash is
+selected: a fingerprint. These numbers are chosen such that any equal runs of ``RUN_WORDS`` words hold an equal run of units,
+and share its fingerprint, wherever they stand. Of what is deleted, lines and words are told.
+
+Of all fingerprints only those that repeat keep their places: bare hashes are counted first. Each place is joined with the
+fingerprint's first one in the order of (key, digest of the text, place); never all pairs. Both texts' words, as numbers,
+are compared on that diagonal, and the match is extended both ways as far as words are equal.
+
+The first place of a fingerprint may stand in other words than the passage that repeats. Runs of ``RUN_WORDS`` words with a
+fingerprint that has further places, which the match with the first one leaves uncovered, are therefore joined with their own
+first occurrence, by a hash of the run, and extended alike. A run is uncovered where it stands first, so that place is among
+them. So exactly those words are deleted that belong to a run of ``RUN_WORDS`` words which stands at an earlier place of
+the given texts, as far as hashes tell words apart (32 bits for each of the words compared on a diagonal).
+
+Cases: null and empty texts and texts shorter than a run lose nothing; rows with a null key are passed on as they are
+and are no source; rows with equal key and text are one document and keep or lose the same words; of further copies of a whole
+text only the first has fingerprints, the others lose all words, if these are enough for a run; a text that repeats its
 own words keeps the first ones; lines without a word stay, lines that lose all their words go; other columns are passed
 on, names included. Hot fingerprints and hot sources are join keys with one row on the other side, which Spark splits;
 nothing is gathered per fingerprint.
@@ -29,19 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.batches import free_name, slices
 from eventide.llm.ngram_join import _mix, _powers, small, word_hashes
-from eventide.session import stage
+from eventide.session import release, stage
 
-SLICE_BYTES = 16_000_000
-ITEM_WORDS, RUN_WORDS = 25, 50
+SLICE_BYTES = 2_000_000
+RUN_WORDS = 50
+PIECE_WORDS, ITEM_WORDS = 4, 10
+#: A run of units in RUN_WORDS words, less what may be cut in another way at its ends.
+WINDOW_WORDS = RUN_WORDS + 2 - 4 * PIECE_WORDS
 _WORD = re.compile(r"\S+")
-_GAP, _LINE = 0x20, 0x0A
-_ONE_GAP = bytes(_GAP if b == _LINE else b for b in range(256))
 
 
 def plain(text: str) -> bytes:
@@ -50,173 +53,269 @@ def plain(text: str) -> bytes:
     return ("\n" + "".join(line + "\n" for line in lines if line)).encode()
 
 
-def _ends(words: np.ndarray, least: int) -> np.ndarray:
-    """Last unit of the shortest run of ``least`` words from each unit on; shorter than ``words`` where none is left."""
-    total = np.r_[0, np.cumsum(words)]
-    ends = np.searchsorted(total, total[:-1] + least) - 1
-    return ends[ends < len(words)]
-
-
-def selected(hashes: np.ndarray, words: np.ndarray, item_words: int = ITEM_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Of units with hashes and numbers of words: the first unit of every window's selected item, and all items' hashes."""
-    windows, ends = _ends(words, run_words), _ends(words, item_words)
-    if not len(windows):
-        return windows, np.zeros(0, np.uint64)
-    up, down = _powers(len(hashes))
-    total = np.r_[np.uint64(0), np.cumsum(hashes * up[: len(hashes)])]
-    firsts = np.arange(len(ends))
-    items = _mix((total[ends + 1] - total[firsts]) * down[firsts])
-    # the last of the smallest items in ranges of a power of two, and from two of these in every window
-    last = np.searchsorted(ends, windows, "right") - 1
-    first = np.arange(len(windows))
+def _minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Place of the smallest value, the last of equal ones, in every range; ``last`` is included."""
     level = np.frexp(last - first + 1)[1] - 1
-    best, least, size = np.empty(len(windows), np.int64), firsts, 1
-    for k in range(int(level.max()) + 1):
+    best, least, size = np.empty(len(first), np.int64), np.arange(len(values)), 1
+    for k in range(int(level.max(initial=-1)) + 1):
         at = np.flatnonzero(level == k)
         a, b = least[first[at]], least[last[at] - size + 1]
-        best[at] = np.where(items[b] <= items[a], b, a)
+        best[at] = np.where(values[b] <= values[a], b, a)
         a, b = least[:-size], least[size:]
-        least = np.where(items[b] <= items[a], b, a)
+        least = np.where(values[b] <= values[a], b, a)
         size *= 2
-    return best, items
+    return best
+
+
+def units(words: np.ndarray, text: np.ndarray, piece: int = PIECE_WORDS) -> np.ndarray:
+    """First words of all units of words with hashes and numbers of texts."""
+    begins = np.r_[True, text[1:] != text[:-1]] if len(words) else np.zeros(0, bool)
+    whole = np.flatnonzero(text[: len(text) - piece + 1] == text[piece - 1 :]) if len(words) >= piece else np.zeros(0, np.int64)
+    after = _minima(words, whole, whole + piece - 1) + 1
+    begins[after[after < len(words)]] = True
+    return np.flatnonzero(begins)
 
 
-def fingerprints(hashes: list[int], words: list[int], item_words: int = ITEM_WORDS, run_words: int = RUN_WORDS) -> dict[int, int]:
-    """First unit of every selected item, and the item's hash."""
-    best, items = selected(np.array(hashes, np.uint64), np.array(words, np.int64), item_words, run_words)
+def selected(starts: np.ndarray, text: np.ndarray, words: np.ndarray, item_words: int = ITEM_WORDS, window_words: int = WINDOW_WORDS):
+    """Windows of units, as their first units, and for each the first unit of its selected item; and hashes of all items.
+
+    ``starts`` has the first word of every unit, ``text`` the text it belongs to, ``words`` the hashes of all words. No item
+    or window goes beyond its text.
+    """
+    ends = np.r_[starts[1:], len(words)]
+    up, down = _powers(len(words) + 1)
+    total = np.r_[np.uint64(0), np.cumsum(words * up[: len(words)])]
+
+    def reach(least: int) -> np.ndarray:
+        """Last unit of the shortest run of so many words from each unit on, or one that is beyond all."""
+        last = np.searchsorted(ends, starts + least)
+        inside = np.minimum(last, max(0, len(starts) - 1))
+        return np.where((last < len(starts)) & (text[inside] == text), last, len(starts))
+
+    item, window = reach(item_words), reach(window_words)
+    windows, items = np.flatnonzero(window < len(starts)), np.flatnonzero(item < len(starts))
+    hashes = np.zeros(len(starts), np.uint64)
+    hashes[items] = _mix((total[ends[item[items]]] - total[starts[items]]) * down[starts[items]])
+    last = items[np.searchsorted(item[items], window[windows], "right") - 1] if len(windows) else windows
+    return windows, _minima(hashes, windows, last), hashes
+
+
+def fingerprints(hashes: list[int], words: list[int], item_words: int = ITEM_WORDS, window_words: int = WINDOW_WORDS) -> dict[int, int]:
+    """First unit of every selected item of one text, and the item's hash; units have a hash and a number of words each."""
+    sizes = np.array(words, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    spread = np.zeros(int(sizes.sum()), np.uint64)
+    spread[starts] = np.array(hashes, np.uint64)
+    _, best, items = selected(starts, np.zeros(len(starts), np.int64), spread, item_words, window_words)
     return {i: int(items[i]) for i in np.unique(best).tolist()}
 
 
-_PRINTS = ("item", "place", "word", "line", "back", "windows", "low", "high")
+_PRINTS = ("item", "at", "low", "high")
 _PLACES = ("first_line", "last_line", "source_line", "first_word", "last_word", "source_word")
-_WINDOW = ("place", "word", "line", "high")
 
 
-def hashed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """Per document: key, digest, its plain text, and its fingerprints as arrays of item, byte, word and line number.
+def fingerprinted(texts: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Lists of all texts, as values and offsets: words (hashes of 32 bits), first words of lines, and fingerprints.
 
-    ``windows`` consecutive windows select a fingerprint, the first of which begins ``back`` words before it; they and every
-    run of fewer words around it lie between the gaps ``low`` and ``high``.
+    A fingerprint has its item's hash and first word. ``low`` and ``high`` are the first words of the
+    runs of ``RUN_WORDS`` words that look for it, as it is the first one that is selected within them wherever they stand.
     """
+    raws = [plain(t) for t in texts]
+    sizes = np.array([len(r) for r in raws], np.int64)
+    data = b"".join(raws)
+    words, at = word_hashes(data)
+    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    line = np.searchsorted(breaks, at)
+    edges = np.searchsorted(at, np.r_[0, np.cumsum(sizes)])  # words before each text
+    text = np.repeat(np.arange(len(texts)), np.diff(edges))
+    begins = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(at) else at
+    starts = units(words, text)
+    own = text[starts]
+    windows, best, hashes = selected(starts, own, words)
+    item, first, n = np.unique(best, return_index=True, return_counts=True)
+    base = edges[own[item]]
+    # of the windows that select an item, the first and the last; what lies before the first looks for another item
+    before = windows[first] - 1
+    fresh = (windows[first] == 0) | (own[np.maximum(before, 0)] != own[item])
+    low = np.where(fresh, 0, np.maximum(starts[np.maximum(before, 0)] - PIECE_WORDS + 1 - base, 0))
+    high = starts[windows[first + n - 1]] - PIECE_WORDS - base
+    lists = {
+        "words": (words.astype(np.uint32).view(np.int32), edges),
+        "lines": (begins - edges[text[begins]], np.searchsorted(begins, edges)),
+    }
+    cuts = np.searchsorted(own[item], np.arange(len(texts) + 1))
+    for name, value in zip(_PRINTS, (hashes[item].view(np.int64), starts[item] - base, low, high)):
+        lists[name] = value, cuts
+    return lists
+
+
+def hashed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
+    """Per document: key, digest of the text, number of words, and the lists of ``fingerprinted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2, SLICE_BYTES):
-            texts, items, numbers = [], [], [[] for _ in _PRINTS[1:]]
-            for t in part.column(2).to_pylist():
-                raw = plain(t)
-                hashes, at = word_hashes(raw)
-                best, found = selected(hashes, np.ones(len(hashes), np.int64))
-                firsts, low, n = np.unique(best, return_index=True, return_counts=True)
-                breaks, gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == _LINE), np.r_[at - 1, len(raw) - 1]
-                texts.append(raw)
-                items.append(found[firsts].view(np.int64))
-                least = gaps[np.minimum(low, np.maximum(firsts - ITEM_WORDS, 0))]
-                most = gaps[np.minimum(np.maximum(low + n - 1 + RUN_WORDS, firsts + RUN_WORDS), len(at))]
-                lines = np.searchsorted(breaks, at[firsts]) - 1
-                for own, new in zip(numbers, (at[firsts], firsts, lines, firsts - low, n, least, most)):
-                    own.append(new.astype(np.int32))
-            arrays = [pa.array(items, pa.list_(pa.int64())), *(pa.array(a, pa.list_(pa.int32())) for a in numbers)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary()), *arrays], names=["key", "digest", "plain", *_PRINTS])
+            lists = fingerprinted(part.column(2).to_pylist())
+            arrays = [
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values if name == "item" else values.astype(np.int32)))
+                for name, (values, offsets) in lists.items()
+            ]
+            n = pa.array(np.diff(lists["words"][1]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n, *arrays], names=["key", "digest", "n", *lists])
 
     rows = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(
-        F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).cast("string").alias("text")
+        F.col(key).alias("key"), digest(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text")
     )
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, digest bigint, plain binary, item array<bigint>, " + ", ".join(f"{c} array<int>" for c in _PRINTS[1:]))
+    return rows.mapInArrow(run, f"key {kind}, digest binary, n int, words array<int>, lines array<int>, item array<bigint>, " + ", ".join(f"{c} array<int>" for c in _PRINTS[1:]))
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def _lists(column: pa.ListArray, field: str | None = None) -> list[np.ndarray]:
+    """Values of a list column, or of a field of its structs, per row."""
+    values = (column.values.field(field) if field else column.values).to_numpy(zero_copy_only=False)
+    offsets = column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+
+def _equal_run(mine: np.ndarray, theirs: np.ndarray, shift: int, at: int) -> tuple[int, int]:
+    """The longest run of my words around ``at`` that are equal to theirs ``shift`` words before."""
+    low, high = max(0, shift), min(len(mine), len(theirs) + shift)
+    step, first, last = 256, at, at + 1
+    while first > low:  # in growing steps, so that the work follows the length of the run
+        a = max(low, first - step)
+        other = np.flatnonzero(mine[a:first] != theirs[a - shift : first - shift])
+        if len(other):
+            first = a + int(other[-1]) + 1
+            break
+        first, step = a, 2 * step
+    step = 256
+    while last < high:
+        b = min(high, last + step)
+        other = np.flatnonzero(mine[last:b] != theirs[last - shift : b - shift])
+        if len(other):
+            last += int(other[0])
+            break
+        last, step = b, 2 * step
+    return first, last
+
+
+def matches(mine: np.ndarray, theirs: np.ndarray, at: np.ndarray, source: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of at least ``RUN_WORDS`` words around some places of mine, as first word, word behind the last, and shift.
+
+    Places whose runs of words from ``low`` to ``high`` all lie in a run that is found don't need to be followed.
+    """
+    found, done = [], np.zeros(len(at), bool)
+    for i in np.argsort(at, kind="stable"):
+        if done[i]:
+            continue
+        shift = int(at[i] - source[i])
+        a, b = _equal_run(mine, theirs, shift, int(at[i]))
+        done |= (at >= a) & (at < b) & (at - source == shift)
+        if b - a >= RUN_WORDS:
+            found.append((a, b, shift))
+            done |= (low >= a) & (high + RUN_WORDS <= b)
+    return found
 
 
-def extend(mine: np.ndarray, theirs: np.ndarray, seeds: list[int]) -> list[tuple[int, int]]:
-    """Maximal runs of equal whole words that hold a seed, as the bytes of the gaps before and after them.
+def _open_runs(mine: np.ndarray, low: np.ndarray, high: np.ndarray, found: list[tuple[int, int, int]]) -> np.ndarray:
+    """First words of the runs of ``RUN_WORDS`` words between some bounds that no match covers."""
+    if not len(low):
+        return np.zeros(0, np.int64)
+    at = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)])
+    for a, b, _ in found:
+        at = at[(at < a) | (at + RUN_WORDS > b)]
+    return at
 
-    Both are plain texts, cut so that they are aligned on the diagonal; a seed is the first byte of a word.
-    """
-    breaks = np.flatnonzero(np.r_[True, mine != theirs, True])  # equal bytes lie between two breaks
-    at = np.unique(np.searchsorted(breaks, np.asarray(seeds) + 1, side="right"))
-    gaps = np.flatnonzero(mine == _GAP)
-    found = []
-    for low, high in zip(breaks[at - 1].tolist(), breaks[at].tolist()):
-        a, b = np.searchsorted(gaps, [low, high - 1])
-        if b - a > ITEM_WORDS:
-            found.append((int(gaps[a]), int(gaps[b - 1])))
-    return found
+
+def _run_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    up, down = _powers(len(words) + 1)
+    total = np.r_[np.uint64(0), np.cumsum((words.view(np.uint32).astype(np.uint64) + np.uint64(1)) * up[: len(words)])]
+    return _mix((total[at + RUN_WORDS] - total[at]) * down[at]).view(np.int64)
 
 
 def _runs(hashed: DataFrame, later: DataFrame) -> DataFrame:
-    """Runs around places (``key``, ``digest``, ``place``, ``source``) that are equal at their source.
+    """Runs around places (``key``, ``digest``, ``at``, ``low``, ``high``, ``open``) that are equal at their ``source``.
 
-    Rows with a ``mark`` are the windows, as far as the places have any, that no run covers: a hash and where they begin.
+    Rows with a ``mark`` are the runs of words, from ``low`` to ``high`` of the places that are ``open``, that no match covers.
     """
-    seeds = later.withColumn("shift", F.col("place") - F.col("source.place")).groupBy(
-        "key", "digest", F.col("source.key").alias("source_key"), F.col("source.digest").alias("source_digest"), "shift"
-    ).agg(
-        F.collect_set(F.struct("place", "back", "windows")).alias("seeds"),  # of one text, on one diagonal
-        F.min("low").alias("low"), F.max("high").alias("high"),
-        F.min(F.struct("place", "word", "line", F.col("source.word").alias("source_word"), F.col("source.line").alias("source_line"))).alias("anchor"),
+    pair = ["key", "digest", "source_key", "source_digest"]
+    seeds = later.groupBy("key", "digest", F.col("source.key").alias("source_key"), F.col("source.digest").alias("source_digest")).agg(
+        F.collect_set(F.struct("at", F.col("source.at").alias("source"), "low", "high", "open")).alias("seeds")  # of one text
     )
     seeds = stage(seeds, "seeds")
     keys = seeds.select("key", "digest").unionByName(seeds.select(F.col("source_key").alias("key"), F.col("source_digest").alias("digest"))).distinct()
-    texts = hashed.select("key", "digest", "plain").join(small(stage(keys, "keys")), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
-    theirs = texts.select(F.col("key").alias("source_key"), F.col("digest").alias("source_digest"), F.col("plain").alias("theirs"))
-    # both texts are cut to the bytes that meet on the diagonal between the outer gaps
-    columns = ["key", "digest", "source_key", "source_digest", "shift", "seeds", "low", "anchor"]
-    own = seeds.join(texts, ["key", "digest"]).select(*columns, F.substring("plain", F.col("low") + 1, F.col("high") - F.col("low") + 1).alias("mine"))
-    cut = F.greatest(F.col("shift"), F.col("low"))
-    size = F.length("mine") - (cut - F.col("low"))
-    pairs = own.join(theirs, ["source_key", "source_digest"]).select(*columns, "mine", F.substring("theirs", cut - F.col("shift") + 1, size).alias("theirs"))
+    keys = stage(keys, "keys")
+    texts = hashed.select("key", "digest", "words", "lines").join(small(keys), ["key", "digest"], "left_semi").dropDuplicates(["key", "digest"])
+    theirs = texts.select(*[F.col(a).alias(b) for a, b in zip(("key", "digest", "words", "lines"), ("source_key", "source_digest", "theirs", "their_lines"))])
+    pairs = seeds.join(texts, ["key", "digest"]).join(theirs, ["source_key", "source_digest"]).select(*pair, "seeds", "words", "lines", "theirs", "their_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
+            seeds = [_lists(batch.column(4), c) for c in ("at", "source", "low", "high", "open")]
+            words, lines, theirs, their_lines = (_lists(batch.column(c)) for c in range(5, 9))
+            rows, places, marked, marks, firsts = [], [], [], [], []
             for i in range(batch.num_rows):
-                shift, seeds, low, anchor, mine, theirs = (batch.column(c)[i].as_py() for c in range(4, 10))
-                cut = max(shift - low, 0)
-                at = anchor["place"] - low
-                # gaps and lines before a byte; words and lines are counted from the anchor
-                (gaps, breaks), (their_gaps, their_breaks) = ((np.flatnonzero((x == _GAP) | (x == _LINE)), np.flatnonzero(x == _LINE)) for x in (np.frombuffer(t, np.uint8) for t in (mine, theirs)))
-                steps = lambda marks, a, b: int(np.searchsorted(marks, b) - np.searchsorted(marks, a))
-                a1, b1 = (np.frombuffer(t.translate(_ONE_GAP), np.uint8) for t in (mine[cut : cut + len(theirs)], theirs))
-                equal = [(a + cut, b + cut) for a, b in extend(a1, b1, [s["place"] - low - cut for s in seeds])]
-                for a, b in equal:
-                    first, last = np.searchsorted(gaps, [a, b])
-                    first_word = anchor["word"] + steps(gaps, at, a + 1)
-                    first_line, last_line = (anchor["line"] + steps(breaks, at, x + 1) for x in (a, int(gaps[last - 1])))
-                    source_line = anchor["source_line"] + steps(their_breaks, at - cut, a + 1 - cut)
-                    source_word = anchor["source_word"] + steps(their_gaps, at - cut, a + 1 - cut)
+                at, source, low, high, more = (s[i] for s in seeds)
+                found = matches(words[i], theirs[i], at, source, low, high)
+                for a, b, shift in found:
+                    line = np.searchsorted(lines[i], (a, b - 1), "right") - 1
                     rows.append(i)
-                    found.append((first_line, last_line, source_line, first_word, first_word + int(last - first) - 1, source_word, *[None] * 5))
-                for seed in seeds:
-                    if seed["windows"]:
-                        place = seed["place"] - low
-                        a, b = next(((a, b) for a, b in equal if a < place < b), (len(mine), 0))
-                        own = int(np.searchsorted(gaps, place - 1)) - seed["back"]
-                        for s in range(own, own + seed["windows"]):
-                            begin, end = int(gaps[s]), int(gaps[s + RUN_WORDS])
-                            if begin < a or end > b:
-                                mark = xxhash.xxh3_64_intdigest(mine[begin : end + 1].translate(_ONE_GAP)) - (1 << 63)
-                                rows.append(i)
-                                found.append((*[None] * 6, mark, begin + 1 + low, anchor["word"] + steps(gaps, at, begin + 1), anchor["line"] + steps(breaks, at, begin + 1), end + low))
-            taken = batch.select([0, 1, 2, 3]).take(pa.array(rows, pa.int64()))
-            new = [pa.array([f[c] for f in found], pa.int64() if c == 6 else pa.int32()) for c in range(11)]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *new], names=["key", "digest", "source_key", "source_digest", *_PLACES, "mark", *_WINDOW])
+                    places.append((line[0], line[1], np.searchsorted(their_lines[i], a - shift, "right") - 1, a, b - 1, a - shift))
+                runs = _open_runs(words[i], low[more], np.minimum(high[more], len(words[i]) - RUN_WORDS), found)
+                if len(runs):
+                    marked.append(np.full(len(runs), i))
+                    marks.append(_run_hashes(words[i], runs))
+                    firsts.append(runs)
+            n, m = len(rows), sum(map(len, marks))
+            taken = batch.select([0, 1, 2, 3]).take(pa.array(np.concatenate([np.array(rows, np.int64), *marked])))
+            table = np.array(places, np.int32).reshape(n, len(_PLACES))
+            new = [pa.concat_arrays([pa.array(c), pa.nulls(m, pa.int32())]) for c in table.T]
+            mark = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.concatenate([np.zeros(0, np.int64), *marks]))])
+            first = pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts]).astype(np.int32))])
+            yield pa.RecordBatch.from_arrays([*taken.columns, *new, mark, first], names=[*pair, *_PLACES, "mark", "at"])
 
     kind = hashed.schema["key"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"key {kind}, digest bigint, source_key {kind}, source_digest bigint, " + ", ".join(f"{c} int" for c in _PLACES) + ", mark bigint, " + ", ".join(f"{c} int" for c in _WINDOW))
+    out = stage(pairs.mapInArrow(run, f"key {kind}, digest binary, source_key {kind}, source_digest binary, " + ", ".join(f"{c} int" for c in _PLACES) + ", mark bigint, at int"), "found")
+    release(seeds, keys)
+    return out
+
+
+def _repeated(places: DataFrame, mark: str) -> DataFrame:
+    """Places whose ``mark`` stands at another place too, with the first of these and their number ``times``.
+
+    Bare marks are counted first, so that places that stand alone, most of them, are neither sorted nor joined.
+    """
+    place = F.struct("key", "digest", "at")
+    times = places.groupBy(mark).count().where("count > 1").withColumnRenamed("count", "times")
+    several = stage(places.join(times, mark), "several")
+    return several.join(several.groupBy(mark).agg(F.min(place).alias("source")), mark).where(place != F.col("source")), several
 
 
 def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Runs to delete: key, digest, first and last word and their lines (among lines with a word), and where the run stands first."""
     hashed = stage(hashed_words(documents, key, text), "words")
-    prints = hashed.select("key", "digest", F.explode(F.arrays_zip(*_PRINTS)).alias("p")).select("key", "digest", "p.*")
-    place = F.struct("key", "digest", "place", "word", "line")
-    first = prints.groupBy("item").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1")
-    later = prints.join(first, "item").where(place != F.col("source"))
+    first = hashed.groupBy("digest").agg(F.min("key").alias("source_key"), F.max("key").alias("last")).where("last > source_key")
+    copies = hashed.select("key", "digest", "n", F.size("lines").alias("lines")).join(first.drop("last"), "digest").where("key > source_key")
+    copies = stage(copies.distinct(), "copies")
+    zero = F.lit(0)
+    whole = copies.where(F.col("n") >= RUN_WORDS).select(
+        "key", "digest", "source_key", F.col("digest").alias("source_digest"), zero.alias("first_line"), (F.col("lines") - 1).alias("last_line"), zero.alias("source_line"),
+        zero.alias("first_word"), (F.col("n") - 1).alias("last_word"), zero.alias("source_word"))
+    firsts = hashed.select("key", "digest", *_PRINTS).join(small(copies.select("key", "digest")), ["key", "digest"], "left_anti")
+    prints = firsts.select("key", "digest", F.explode(F.arrays_zip(*_PRINTS)).alias("p")).select("key", "digest", "p.*")
+    later, several = _repeated(prints, "item")
     # of two places the later has no other source
-    found = stage(_runs(hashed, later.withColumn("windows", F.when(F.col("n") > 2, F.col("windows")).otherwise(0))), "found")
-    windows = found.where("mark is not null").select("key", "digest", "mark", *_WINDOW).distinct()
-    first = windows.groupBy("mark").agg(F.min(place).alias("source"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(first, "mark").where(place != F.col("source")).selectExpr("*", "place - 1 as low", "0 as back", "0 as windows")
-    runs = found.where("mark is null").unionByName(_runs(hashed, later))
-    return runs.select("key", "digest", "source_key", "source_digest", *_PLACES).distinct()
+    found = _runs(hashed, later.withColumn("open", F.col("times") > 2))
+    release(several)
+    windows = found.where("mark is not null").select("key", "digest", "mark", "at").distinct()
+    later, several = _repeated(windows, "mark")
+    again = _runs(hashed, later.select("*", F.col("at").alias("low"), F.col("at").alias("high"), F.lit(False).alias("open")))
+    release(several, hashed)
+    runs = found.where("mark is null").drop("mark", "at").unionByName(again.where("mark is null").drop("mark", "at"))
+    return runs.unionByName(whole).distinct()
 
 
 def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:
@@ -225,7 +324,7 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", drop_em
     columns = documents.columns
     run_key, run_digest, cuts = (free_name(columns, c) for c in ("run_key", "run_digest", "runs"))
     runs = runs.select(F.col("key").alias(run_key), F.col("digest").alias(run_digest), F.col("runs").alias(cuts))
-    joined = documents.join(runs, (F.col(key) == F.col(run_key)) & (F.xxhash64(text) == F.col(run_digest)), "left")
+    joined = documents.join(runs, (F.col(key) == F.col(run_key)) & (digest(F.col(text)) == F.col(run_digest)), "left")
     names = [f.name for f in documents.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import (bpe_count, byte_bpe, decontaminate, fim, licenses, line_dedup, line_quality, merkle, ngram_join, packing, toxicity,
-                          url_model)
+from eventide.llm import (bpe_count, byte_bpe, decontaminate, fim, licenses, line_dedup, line_quality, merkle, ngram_join, packing,
+                          quality_model, toxicity, url_model)
+from eventide.session import stage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -118,6 +119,13 @@ def op11_merkle_manifest(spark, sf_dir):
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+@query("op12_quality_classifier")
+def op12_quality_classifier(spark, sf_dir):
+    """Quality of every document, learnt from labels that aren't held out."""
+    counted = stage(quality_model.statistics(table(spark, sf_dir, "documents")), "statistics")
+    return quality_model.score(counted, quality_model.train(counted, table(spark, sf_dir, "labels")))
+
+
 @query("op13_fill_in_middle", fim.oracle())
 def op13_fill_in_middle(spark, sf_dir):
     """Every document with its middle at the end, and the text rebuilt from that, as digests."""
