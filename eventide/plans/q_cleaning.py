@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from eventide.definitions import (BEARISH, FILING_RENAME, HORIZON_ORDER, KNOWN_FEATURES, TRANSCRIPT_FEATURES)
 from eventide.functions import columns as C
-from eventide.operators import cleaning, joins, signals
+from eventide.operators import cleaning, joins, signals, technical
 from eventide.operators.returns import forward_returns, price_window
 from eventide.plans.oracle_tables import sql
 from eventide.plans.q_signals import FEATS, RANKED, RETS, ic_sql, long_sql, pairs_sql, staged
@@ -380,20 +379,26 @@ def q_actuals(spark, sf):
     return joins.join_actuals(predictions, actuals, ["ticker", "filingDate"])
 
 
-@query("price_ratios", sql(["bars"], """
+@query("price_ratios", sql(
+    ["bars"], """
   select symbol, date, round(close / max(close) over (w rows between 251 preceding and current row), 6) as price_to_high,
     round(close / min(close) over (w rows between 251 preceding and current row), 6) as price_to_low,
     round(close / avg(close) over (w rows between 29 preceding and current row), 6) as price_to_ma30,
     round(close / avg(close) over (w rows between 49 preceding and current row), 6) as price_to_ma50,
-    round((close / lag(close, 30) over w - 1) * 100, 6) as return_30d
-  from bars window w as (partition by symbol order by date)"""))
+    round((close / lag(close, 30) over w - 1) * 100, 6) as return_30d,
+    round(stddev_samp(case when previous <> 0 then (close - previous) / previous * 100 end) over (w rows between 29 preceding and current row) * sqrt(252), 6) as volatility30,
+    round(case when gain + loss > 0 then gain / (gain + loss) * 100 end, 6) as rsi14, round(fast - slow, 6) + 0 as macd
+  from smooth window w as (partition by symbol order by date)""",
+    numbered="select *, row_number() over w as k, lag(close) over w as previous from bars window w as (partition by symbol order by date)",
+    smooth="""select * from (
+      with recursive step as (
+        select symbol, date, close, k, previous, close as fast, close as slow, cast(null as double) as gain, cast(null as double) as loss from numbered where k = 1
+        union all
+        select n.symbol, n.date, n.close, n.k, n.previous, s.fast + (n.close - s.fast) * 2 / 13e0, s.slow + (n.close - s.slow) * 2 / 27e0,
+          coalesce(s.gain + (greatest(n.close - n.previous, 0) - s.gain) / 14e0, greatest(n.close - n.previous, 0)),
+          coalesce(s.loss + (greatest(n.previous - n.close, 0) - s.loss) / 14e0, greatest(n.previous - n.close, 0))
+        from step s join numbered n on n.symbol = s.symbol and n.k = s.k + 1)
+      select * from step) r"""))
 def q_price_ratios(spark, sf):
-    """Rolling price features per bar; a symbol's bars are bounded by the calendar."""
-    w = Window.partitionBy("symbol").orderBy("date")
-    c = F.col("close")
-    back = lambda k: w.rowsBetween(1 - k, 0)
-    out = wh.bars(spark, sf).select(
-        "symbol", "date", (c / F.max(c).over(back(252))).alias("price_to_high"),
-        (c / F.min(c).over(back(252))).alias("price_to_low"), (c / F.avg(c).over(back(30))).alias("price_to_ma30"),
-        (c / F.avg(c).over(back(50))).alias("price_to_ma50"), ((c / F.lag(c, 30).over(w) - 1) * 100).alias("return_30d"))
-    return signals.rounded(out, 6)
+    """Eight rolling and smoothed price features per bar."""
+    return signals.rounded(technical.price_features(wh.bars(spark, sf)), 6)

@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from eventide.definitions import KNOWN_FEATURES, SCORING_GRID_EARNINGS, SCORING_GRID_FILINGS
-from eventide.operators import evaluation, information, signals, solvers, trees, walkforward, zoo
+from eventide.operators import evaluation, explanation, information, signals, solvers, trees, walkforward, zoo
 from eventide.operators.moments import moment_blocks, sum_products
 from eventide.operators.ordering import POSITION
 from eventide.operators.scoring import rank_scores, score_events
@@ -214,6 +214,27 @@ def q_explain(spark, sf):
     return signals.rounded(information.linear_explanation(data, hand_model(data, cuts=False)), 6)
 
 
+def _explained_model(spark, sf):
+    """A boosted model of the first default setting at full size, fitted on all rows, with its design."""
+    d = design(spark, sf)
+    model = trees.boosted(**next(iter(trees.VARIANTS.values()))).fit(trees.assembled(d))
+    return d, explanation.explainer(model, spark)
+
+
+@query("explain_trees")
+def q_explain_trees(spark, sf):
+    """Features by mean absolute Shapley contribution to a boosted model's predictions."""
+    d, found = _explained_model(spark, sf)
+    return signals.rounded(explanation.feature_ranking(d.rows, d.features, d.columns, found), 6)
+
+
+@query("explain_interactions")
+def q_explain_interactions(spark, sf):
+    """The ten pairs of features with the largest mean absolute interaction values."""
+    d, found = _explained_model(spark, sf)
+    return signals.rounded(explanation.top_interactions(d.rows, d.features, d.columns, found), 6)
+
+
 # --- walk-forward --------------------------------------------------------------------------------------------
 
 
