@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.operators.zoo import MIN_ROWS_TREES, Design
@@ -34,10 +38,32 @@ SEARCH = {"maxIter": (100, 500), "maxDepth": (2, 6), "stepSize": (0.01, 0.2), "s
           "minInstancesPerNode": (1, 10)}
 
 
+#: Tree fits are chains of small Spark jobs, which leave a cluster idle one by one: so many of them run at a time.
+CONCURRENT = 6
+#: Rows per task of a fit: each level of each tree is a job, so tasks should have work.
+TASK_ROWS = 50_000
+
+
+def together(tasks: list[Callable[[], Any]], at_once: int = CONCURRENT) -> list:
+    """Results of tasks that start Spark jobs, side by side and in the tasks' order; the caller's job properties go along.
+
+    Where the cluster schedules jobs by FAIR pools, each task has one of its own.
+    """
+    session = SparkSession.active()
+
+    def run(numbered: tuple[int, Callable[[], Any]]) -> Any:
+        session.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{numbered[0] % at_once}")
+        return numbered[1]()
+
+    with ThreadPoolExecutor(max(1, min(at_once, len(tasks)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(session)(run), t) for t in enumerate(tasks)]]
+
+
 def assembled(design: Design) -> DataFrame:
-    """Feature vectors, staged once for all folds and settings."""
+    """Feature vectors, staged once for all folds and settings, with rows of all folds in every partition."""
     vectors = VectorAssembler(inputCols=design.columns, outputCol="features")
-    return stage(vectors.transform(design.rows).select(POSITION, "_block", "features", F.col("y").alias("label")), "vectors")
+    rows = vectors.transform(design.rows).select(POSITION, "_block", "features", F.col("y").alias("label"))
+    return stage(rows.repartition(-(-design.n // TASK_ROWS) or 1, POSITION), "vectors")
 
 
 def forest(trees: int = 200, source: str = "earnings") -> RandomForestRegressor:
@@ -48,17 +74,42 @@ def boosted(**params) -> GBTRegressor:
     return GBTRegressor(seed=42, maxBins=128, featureSubsetStrategy="all", **params)
 
 
-def cross_validate(vectors: DataFrame, estimator, folds: int) -> tuple[float, float]:
-    """Mean and population deviation of R² over the time-ordered folds."""
+def cross_validate_all(vectors: DataFrame, estimators: list, folds: int) -> list[tuple[float, float]]:
+    """Mean and population deviation of R² over the time-ordered folds, per estimator; all fits run side by side."""
     judge = RegressionEvaluator(metricName="r2")
-    scores = [
-        judge.evaluate(estimator.fit(vectors.where(F.col("_block") < i)).transform(vectors.where(F.col("_block") == i)))
-        for i in range(1, folds + 1)
-    ]
+
+    def fit(estimator, i: int) -> Callable[[], float]:
+        return lambda: judge.evaluate(estimator.fit(vectors.where(F.col("_block") < i)).transform(vectors.where(F.col("_block") == i)))
+
+    scores = together([fit(e, i) for e in estimators for i in range(1, folds + 1)])
+    return [mean_and_deviation(scores[k * folds : (k + 1) * folds]) for k in range(len(estimators))]
+
+
+def mean_and_deviation(scores: list[float]) -> tuple[float, float]:
     mean = sum(scores) / len(scores)
     return mean, math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
 
 
+def cross_validate(vectors: DataFrame, estimator, folds: int) -> tuple[float, float]:
+    """Mean and population deviation of R² over the time-ordered folds."""
+    return cross_validate_all(vectors, [estimator], folds)[0]
+
+
+def staged_r2(model, test: DataFrame) -> list[float]:
+    """R² of a boosted model on ``test`` after 1, 2, ... of its rounds; each is what a fit of so many rounds gives."""
+    spread = test.agg(F.var_pop("label")).first()[0]
+    return [1 - mse / spread if spread else 0.0 for mse in model.evaluateEachIteration(test, "squared")]
+
+
+def best_rounds(vectors: DataFrame, estimator: GBTRegressor, folds: int, least: int = 1) -> tuple[int, tuple[float, float]]:
+    """Rounds with the best mean R² over the folds, of at least ``least``, and that R²: one fit per fold tells of all of them."""
+    fold = lambda i: lambda: staged_r2(estimator.fit(vectors.where(F.col("_block") < i)), vectors.where(F.col("_block") == i))
+    curves = together([fold(i) for i in range(1, folds + 1)])
+    by_rounds = list(zip(*curves))[least - 1 :]
+    best = max(range(len(by_rounds)), key=lambda k: (sum(by_rounds[k]), -k))
+    return best + least, mean_and_deviation(list(by_rounds[best]))
+
+
 def _result(name: str, model: Model, features: list[str], metrics: dict) -> list[tuple]:
     out = [(name, "metric", k, float(v)) for k, v in metrics.items()]
     return out + [(name, "importance", f, round(float(v), 4)) for f, v in zip(features, model.featureImportances)]
@@ -81,25 +132,24 @@ def gradient_boosting(
         return []
     grid = BOOST_GRID[source]
     vectors = assembled(design)
-    best, top = None, (-math.inf, 0.0)
-    for rate in rates:
-        for depth in depths or grid["depths"]:
-            est = boosted(maxIter=trees or grid["maxIter"], stepSize=rate, maxDepth=depth, subsamplingRate=0.8,
-                          minInstancesPerNode=grid["minInstancesPerNode"])
-            score = cross_validate(vectors, est, design.folds)
-            if score[0] > top[0] or best is None:
-                best, top = est, score
+    settings = [boosted(maxIter=trees or grid["maxIter"], stepSize=rate, maxDepth=depth, subsamplingRate=0.8, minInstancesPerNode=grid["minInstancesPerNode"])
+                for rate in rates for depth in depths or grid["depths"]]
+    scores = cross_validate_all(vectors, settings, design.folds)
+    top = max(range(len(settings)), key=lambda k: (scores[k][0], -k))
+    best = settings[top]
     metrics = {"best_learning_rate": best.getStepSize(), "best_max_depth": best.getMaxDepth(),
-               "r2_cv_mean": top[0], "r2_cv_std": top[1]}
+               "r2_cv_mean": scores[top][0], "r2_cv_std": scores[top][1]}
     return _result("Gradient Boost", best.fit(vectors), design.features, metrics)
 
 
 def boosted_variants(design: Design, trees: int | None = None) -> list[tuple]:
-    """CV R² of the named default settings."""
-    vectors, out = assembled(design), []
-    for name, params in VARIANTS.items():
-        est = boosted(**{**params, "maxIter": trees or params["maxIter"]})
-        mean, std = cross_validate(vectors, est, design.folds)
+    """CV R² of the named default settings; equal settings are fitted once."""
+    settings = {name: {**p, "maxIter": trees or p["maxIter"]} for name, p in VARIANTS.items()}
+    distinct = {repr(sorted(p.items())): p for p in settings.values()}
+    found = dict(zip(distinct, cross_validate_all(assembled(design), [boosted(**p) for p in distinct.values()], design.folds)))
+    out = []
+    for name, p in settings.items():
+        mean, std = found[repr(sorted(p.items()))]
         out += [(name, "metric", "r2_cv_mean", mean), (name, "metric", "r2_cv_std", std)]
     return out
 
@@ -123,11 +173,12 @@ def random_settings(trials: int, space: dict = SEARCH, seed: int = 42) -> list[d
 
 def param_search(design: Design, trials: int = 50, space: dict = SEARCH, seed: int = 42) -> list[tuple]:
     """Random search over boosting settings; each trial's settings and mean CV R²."""
-    vectors, out = assembled(design), []
-    for i, params in enumerate(random_settings(trials, space, seed)):
-        mean, _ = cross_validate(vectors, boosted(**params), design.folds)
-        out += [(f"trial {i + 1}", "setting", k, float(v)) for k, v in params.items()]
-        out.append((f"trial {i + 1}", "metric", "r2_cv_mean", mean))
+    settings = random_settings(trials, space, seed)
+    scores = cross_validate_all(assembled(design), [boosted(**p) for p in settings], design.folds)
+    out = []
+    for i, (params, (mean, _)) in enumerate(zip(settings, scores), 1):
+        out += [(f"trial {i}", "setting", k, float(v)) for k, v in params.items()]
+        out.append((f"trial {i}", "metric", "r2_cv_mean", mean))
     return out
 
 

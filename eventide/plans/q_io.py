@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from eventide.definitions import FILING_RENAME, HORIZON_ORDER, KNOWN_FEATURES
-from eventide.operators import cleaning, evaluation, rankcorr, signals, views, zoo
+from eventide.operators import cleaning, evaluation, rankcorr, signals, trees, views, zoo
 from eventide.operators.scoring import rank_scores
 from eventide.plans.oracle_tables import sql
 from eventide.plans.q_models import ORDER
@@ -155,7 +155,9 @@ def q_report(spark, sf):
     data = staged(spark, sf)
     table = signals.feature_signal_table(data, FEATS, RETS, BEARISH)
     best = signals.best_period(table, HORIZON_ORDER)
-    found = zoo.zoo_frame(spark, {h: zoo.linear_zoo(zoo.prepare(data, FEATS, c, ORDER), {"OLS", "Ridge", "Lasso"}) for h, c in RETS.items()})
+    designs = {h: zoo.prepare(data, FEATS, c, ORDER) for h, c in RETS.items()}
+    forests = trees.together([lambda d=d: trees.random_forest(d) for d in designs.values()], at_once=4)
+    found = zoo.zoo_frame(spark, {h: zoo.linear_zoo(d) + f for (h, d), f in zip(designs.items(), forests)})
     models = evaluation.model_comparison(zoo.zoo_models(found))
     horizon = evaluation.best_horizon(models).first()["horizon"]
     weights = evaluation.blend_weights(zoo.zoo_blend_input(found)).where(F.col("horizon") == horizon)

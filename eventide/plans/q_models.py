@@ -148,15 +148,35 @@ def q_zoo_filings(spark, sf):
     return flows.filings_zoo(spark, sf)
 
 
-# Registered tree queries use few, shallow trees: the fits are iterative, the data is whole.
-TREES = 10
+def _forests(spark, designs: dict) -> dict:
+    """Forest rows of every target; the targets are fitted side by side."""
+    found = trees.together([lambda d=d, source=source: trees.random_forest(d, source=source) for d, source in designs.values()], at_once=4)
+    return dict(zip(designs, found))
+
+
+def _filing_designs(spark, sf) -> dict:
+    data = stage(wh.filings(spark, sf), "filings")
+    return {h: (zoo.prepare(data, FILING_FEATS, c, ["filingDate", "ticker"], impute=True), "filings") for h, c in FILING_TARGETS.items()}
+
+
+def _designs(spark, sf) -> dict:
+    data = stage(wh.dataset(spark, sf), "dataset")
+    return {h: (zoo.prepare(data, FEATS, c, ORDER), "earnings") for h, c in RETS.items()}
 
 
 @query("zoo_random_forest")
 def q_forest(spark, sf):
-    return zoo.zoo_frame(spark, {"5D": trees.random_forest(design(spark, sf), trees=TREES)})
+    """Forests of 200 trees for every horizon."""
+    return zoo.zoo_frame(spark, _forests(spark, _designs(spark, sf)))
 
 
+@query("zoo_random_forest_filings")
+def q_forest_filings(spark, sf):
+    """Forests of 200 trees on the filing features for every target."""
+    return zoo.zoo_frame(spark, _forests(spark, _filing_designs(spark, sf)))
+
+
+# A boosted round is a chain of Spark jobs: README has the seconds of the whole grids, which the operators' defaults run.
 @query("zoo_gbt")
 def q_gbt(spark, sf):
     return zoo.zoo_frame(spark, {"5D": trees.gradient_boosting(design(spark, sf), trees=5, rates=[0.05, 0.1], depths=[2])})
@@ -164,7 +184,16 @@ def q_gbt(spark, sf):
 
 @query("boosted_variants")
 def q_variants(spark, sf):
-    return zoo.zoo_frame(spark, {"5D": trees.boosted_variants(design(spark, sf), trees=5)})
+    """The default settings at their full 300 rounds."""
+    return zoo.zoo_frame(spark, {"5D": trees.boosted_variants(design(spark, sf))})
+
+
+@query("boosted_rounds")
+def q_rounds(spark, sf):
+    """The number of rounds of the first default setting with the best CV R², of all up to 300, from one fit per fold."""
+    d = design(spark, sf)
+    rounds, (mean, std) = trees.best_rounds(trees.assembled(d), trees.boosted(**next(iter(trees.VARIANTS.values()))), d.folds)
+    return spark.createDataFrame([(rounds, mean, std)], "rounds int, r2_cv_mean double, r2_cv_std double")
 
 
 @query("param_search")
@@ -175,17 +204,18 @@ def q_search(spark, sf):
 
 @query("permutation_importance")
 def q_permutation(spark, sf):
+    """Drop of R² per feature of a forest of 200 trees."""
     d = design(spark, sf)
-    model = trees.forest(TREES).fit(trees.assembled(d))
+    model = trees.forest().fit(trees.assembled(d))
     return spark.createDataFrame(trees.permutation_importance(d, model), "feature string, r2_drop double")
 
 
 @query("model_comparison")
 def q_comparison(spark, sf):
-    """Linear models of every horizon ranked by CV R²."""
-    data = stage(wh.dataset(spark, sf), "dataset")
-    found = zoo.zoo_frame(spark, {h: zoo.linear_zoo(zoo.prepare(data, FEATS, c, ORDER)) for h, c in RETS.items()})
-    return evaluation.model_comparison(zoo.zoo_models(found))
+    """Linear models and forests of every horizon ranked by CV R²."""
+    designs = _designs(spark, sf)
+    found, forests = {h: zoo.linear_zoo(d) for h, (d, _) in designs.items()}, _forests(spark, designs)
+    return evaluation.model_comparison(zoo.zoo_models(zoo.zoo_frame(spark, {h: found[h] + forests[h] for h in found})))
 
 
 # --- mutual information and explanations ------------------------------------------------------------------
@@ -250,18 +280,33 @@ def q_wf_metrics(spark, sf):
     return signals.rounded(evaluation.regression_metrics(out.withColumn("model", F.lit("Ridge")), ["model"]))
 
 
+def _fit_trees(d, make):
+    vec = VectorAssembler(inputCols=d.columns, outputCol="features")
+
+    def fit(train):
+        model = make().fit(vec.transform(train).withColumnRenamed("y", "label"))
+        return lambda test: model.transform(vec.transform(test))
+
+    return fit
+
+
 @query("walk_forward_trees")
 def q_wf_trees(spark, sf):
-    """Boosted trees refitted three times over the expanding history."""
+    """Boosted trees of 300 rounds, refitted over the expanding history; every row from the 51st on is predicted."""
     d = design(spark, sf)
+    make = lambda: trees.boosted(**next(iter(trees.VARIANTS.values())))
+    return walkforward.walk_forward_estimator(d, _fit_trees(d, make), ORDER)
 
-    def fit(train):
-        vec = VectorAssembler(inputCols=d.columns, outputCol="features")
-        model = trees.boosted(maxIter=5, maxDepth=2, stepSize=0.05).fit(vec.transform(train).withColumnRenamed("y", "label"))
-        return lambda test: model.transform(vec.transform(test))
 
-    start = max(50, d.n // 2)
-    return walkforward.walk_forward_estimator(d, fit, ORDER, start, max(10, -(-(d.n - start) // 3)))
+@query("promote_walk_forward")
+def q_promote_walk_forward(spark, sf):
+    """The model with the best walk-forward Sharpe of ridge, refitted every ten rows, and forests, and both models' metrics."""
+    d = design(spark, sf)
+    ridge = walkforward.walk_forward_ridge(d, ORDER).select(F.lit("Ridge").alias("model"), "predicted", "actual")
+    forest = walkforward.walk_forward_estimator(d, _fit_trees(d, trees.forest), ORDER).select(F.lit("Random Forest").alias("model"), "predicted", "actual")
+    table = stage(evaluation.regression_metrics(stage(ridge.unionByName(forest), "walked"), ["model"]), "metrics")
+    best = walkforward.promote_best(table).select("model", F.lit(True).alias("promoted"))
+    return signals.rounded(table.join(best, "model", "left").withColumn("promoted", F.coalesce("promoted", F.lit(False))))
 
 
 RULES = ["mgmt_hedging", "analyst_skepticism", "pricing_power"]

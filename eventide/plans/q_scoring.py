@@ -295,11 +295,17 @@ def q_cards(spark, sf):
 # --- metadata and status --------------------------------------------------------------------------------
 
 
-@query("dataset_metadata", sql(["dataset"], "select count(*) as total_events, list_sort(list(distinct symbol)) as companies, min(earnings_date) as first_date, max(earnings_date) as last_date from dataset"))
+@query("dataset_metadata", sql(["dataset"], "select count(*) as total_events, count(distinct symbol) as companies, min(earnings_date) as first_date, max(earnings_date) as last_date from dataset"))
 def q_metadata(spark, sf):
     return views.dataset_metadata(wh.dataset(spark, sf), "symbol", "earnings_date")
 
 
+@query("dataset_symbols", sql(["dataset"], "select symbol, count(*) as total_events, min(earnings_date) as first_date, max(earnings_date) as last_date from dataset group by symbol"))
+def q_symbols(spark, sf):
+    """The companies of the dataset, as rows."""
+    return views.dataset_symbols(wh.dataset(spark, sf), "symbol", "earnings_date")
+
+
 INCOMPLETE = " or ".join(f"return_{h} is null" for h in HORIZON_ORDER)
 
 

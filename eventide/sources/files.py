@@ -94,7 +94,7 @@ def report_lines(
     """Markdown summary of the result tables; each has a row per feature, horizon or pair of features."""
     m = meta.first()
     lines = ["# Signal results", "",
-             f"Dataset: {m['total_events']} events, {len(m['companies'])} companies, {m['first_date']} to {m['last_date']}",
+             f"Dataset: {m['total_events']} events, {m['companies']} companies, {m['first_date']} to {m['last_date']}",
              "", "## Strongest features", ""]
     strongest = ranked(best, [F.desc(F.abs("ic")), F.asc("feature")]).where(F.col("place") <= top)
     for r in strongest.withColumn("stars", stars(F.col("ic_pvalue"))).orderBy("place").collect():

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
 from eventide import session
@@ -203,3 +204,46 @@ def test_shared_folder_is_the_named_one(spark):
     with pytest.raises(RuntimeError):
         session.shared_dir(FakeSession("yarn"))
     assert session.stage(spark.range(3), "x").count() == 3
+
+
+def test_staged_scores_equal_separate_fits(spark, data):
+    design = zoo.prepare(data[1], {f: f for f in FEATURES}, "y", ["day"])
+    vectors = trees.assembled(design)
+    train, test = vectors.where("_block < 5"), vectors.where("_block = 5")
+    kind = dict(maxDepth=2, stepSize=0.2, subsamplingRate=0.8)
+    curve = trees.staged_r2(trees.boosted(maxIter=6, **kind).fit(train), test)
+    judge = RegressionEvaluator(metricName="r2")
+    for rounds in (1, 3, 6):
+        assert curve[rounds - 1] == pytest.approx(judge.evaluate(trees.boosted(maxIter=rounds, **kind).fit(train).transform(test)), abs=1e-9)
+    best, (mean, std) = trees.best_rounds(vectors, trees.boosted(maxIter=6, **kind), design.folds, least=2)
+    means = {r: trees.cross_validate(vectors, trees.boosted(maxIter=r, **kind), design.folds) for r in (2, 6)}
+    assert 2 <= best <= 6 and mean >= max(m for m, _ in means.values()) - 1e-9
+    if best in means:
+        assert (mean, std) == pytest.approx(means[best])
+
+
+def test_fits_side_by_side_keep_order_and_properties(spark):
+    context = spark.sparkContext
+    context.setLocalProperty("callSite.short", "outer")
+    got = trees.together([lambda i=i: (i, spark.range(10 * i).count(), context.getLocalProperty("callSite.short")) for i in range(7)], at_once=3)
+    context.setLocalProperty("callSite.short", None)
+    assert got == [(i, 10 * i, "outer") for i in range(7)] and trees.together([]) == []
+
+
+def test_refits_predict_every_row_from_earlier_ones(spark, data):
+    assert walkforward.refit_bounds(40) == [] and walkforward.refit_bounds(51) == [(50, 51)]
+    bounds = walkforward.refit_bounds(10_000)
+    assert bounds[0][0] == 50 and bounds[-1][1] == 10_000 and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:])) and len(bounds) < 16
+    design = zoo.prepare(data[1], {f: f for f in FEATURES}, "y", ["day"])
+    seen = []
+
+    def fit(train):
+        mean, last = train.agg(F.avg("y"), F.max("_pos")).first()
+        seen.append(last)
+        return lambda test: test.withColumn("prediction", F.lit(mean))
+
+    got = walkforward.walk_forward_estimator(design, fit, ["day"]).toPandas().sort_values("_pos")
+    assert got["_pos"].tolist() == list(range(50, design.n)) and sorted(seen) == [a - 1 for a, _ in walkforward.refit_bounds(design.n)]
+    y = design.rows.orderBy("_pos").toPandas()["y"].to_numpy()
+    for a, b in walkforward.refit_bounds(design.n):
+        assert np.allclose(got["predicted"].to_numpy()[a - 50 : b - 50], y[:a].mean())
