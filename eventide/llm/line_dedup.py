@@ -283,15 +283,17 @@ def _runs(hashed: DataFrame, later: DataFrame) -> DataFrame:
     return out
 
 
-def _repeated(places: DataFrame, mark: str) -> DataFrame:
-    """Places whose ``mark`` stands at another place too, with the first of these and their number ``times``.
+def _repeated(places: DataFrame, mark: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Places whose ``mark`` stands at another place too, with the first of these and their number ``times``; and what is staged for it.
 
-    Bare marks are counted first, so that places that stand alone, most of them, are neither sorted nor joined.
+    Bare marks are counted first, so that places that stand alone, most of them, are neither sorted nor joined. What marks are
+    joined with is staged: few rows are broadcast, and beyond that a join of its own can be split where a mark is hot.
     """
     place = F.struct("key", "digest", "at")
-    times = places.groupBy(mark).count().where("count > 1").withColumnRenamed("count", "times")
-    several = stage(places.join(times, mark), "several")
-    return several.join(several.groupBy(mark).agg(F.min(place).alias("source")), mark).where(place != F.col("source")), several
+    times = stage(places.groupBy(mark).count().where("count > 1").withColumnRenamed("count", "times"), "times")
+    several = stage(places.join(small(times), mark), "several")
+    first = stage(several.groupBy(mark).agg(F.min(place).alias("source")), "first")
+    return several.join(small(first), mark).where(place != F.col("source")), [times, several, first]
 
 
 def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,14 +308,14 @@ def repeated_runs(documents: DataFrame, key: str = "doc_id", text: str = "text")
         zero.alias("first_word"), (F.col("n") - 1).alias("last_word"), zero.alias("source_word"))
     firsts = hashed.select("key", "digest", *_PRINTS).join(small(copies.select("key", "digest")), ["key", "digest"], "left_anti")
     prints = firsts.select("key", "digest", F.explode(F.arrays_zip(*_PRINTS)).alias("p")).select("key", "digest", "p.*")
-    later, several = _repeated(prints, "item")
+    later, staged = _repeated(prints, "item")
     # of two places the later has no other source
     found = _runs(hashed, later.withColumn("open", F.col("times") > 2))
-    release(several)
+    release(*staged)
     windows = found.where("mark is not null").select("key", "digest", "mark", "at").distinct()
-    later, several = _repeated(windows, "mark")
+    later, staged = _repeated(windows, "mark")
     again = _runs(hashed, later.select("*", F.col("at").alias("low"), F.col("at").alias("high"), F.lit(False).alias("open")))
-    release(several, hashed)
+    release(*staged, hashed)
     runs = found.where("mark is null").drop("mark", "at").unionByName(again.where("mark is null").drop("mark", "at"))
     return runs.unionByName(whole).distinct()
 

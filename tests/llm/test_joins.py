@@ -18,13 +18,13 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "c", None, 1, None) for i, t in texts], SCHEMA)
 
 
-def shingles(text):
+def shingles(text, size=3):
     words = (text or "").encode().lower().split()
-    return set(zip(words, words[1:], words[2:])) if len(words) > 2 else {tuple(words)} if words else set()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
 
 
-def brute_components(texts):
-    sets = [shingles(t) for _, t in texts]
+def brute_components(texts, size=3, percent=90):
+    sets = [shingles(t, size) for _, t in texts]
     root = list(range(len(texts)))
 
     def find(x):
@@ -34,7 +34,7 @@ def brute_components(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     least = {}
@@ -357,6 +357,7 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     from eventide.session import stage
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "decontamination", "byte_bpe"]
+    SF = "/root/testdata/sf0.01"
     docs = queries.table(spark, SF, "documents")
     columns, ins, outs = docs.columns, [], []
     for name, f in corpus_pipeline.STAGES:
@@ -368,14 +369,17 @@ def test_pipeline_equals_brute_force_stage_by_stage(spark):
     first = queries.table(spark, SF, "documents")
     scored = toxicity.score(first, toxicity.train(first, queries.table(spark, SF, "labels"))).collect()
     assert ins[0].keys() - outs[0].keys() == {r.doc_id for r in scored if r.predicted} != set()
-    repeated = set()
-    for k in sorted(outs[1]):
-        for w in brute_windows(outs[1][k].text):
-            assert w not in repeated
-            repeated.add(w)
-    assert all(not set(brute_windows(ins[1][k].text)) - repeated for k in ins[1].keys() - outs[1].keys())
-    kept = {k for k, _, c in brute_components([(k, r.text) for k, r in ins[2].items()]) if k == c}
-    assert outs[2].keys() == kept
+    seen = {}
+    for k in sorted(ins[1]):  # exactly the words of runs that stood earlier go, and documents that have no others
+        words, gone = ins[1][k].text.split(), set()
+        for a, w in enumerate(brute_word_runs(ins[1][k].text)):
+            if seen.setdefault(w, (k, a)) < (k, a):
+                gone |= set(range(a, a + line_dedup.RUN_WORDS))
+        left = [w for j, w in enumerate(words) if j not in gone]
+        assert (outs[1][k].text.split() if k in outs[1] else []) == left and (k in outs[1]) == (bool(left) or not gone)
+    near = [(k, r.text) for k, r in ins[2].items()]
+    kept = {k for k, _, c in brute_components(near, corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.NEAR_PERCENT) if k == c}
+    assert outs[2].keys() == kept != {k for k, _, c in brute_components(near) if k == c}  # the stage's own values
     bench = [decontaminate.plain(r.text) for r in queries.table(spark, SF, "benchmark").collect()]
     dirty = {k for k, r in ins[3].items() if any(b.strip() in decontaminate.plain(r.text) for b in bench)}
     assert ins[3].keys() - outs[3].keys() == dirty
