@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventide.functions import text as X
-from eventide.operators import documents
+from eventide.operators import documents, lexicons
 from eventide.plans.oracle_tables import sql
 from eventide.plans.registry import query
 from eventide.sources import warehouse as wh
@@ -43,6 +43,23 @@ def q_density(spark, sf):
     return out.withColumn("per_1000", F.round("per_1000", 6))
 
 
+OPENERS = r"^[^\p{L}\p{N}]*([\p{L}\p{N}]+)"
+
+
+@query("lexicon_table_density", sql(
+    [], """
+  select d.doc_id, d.words, d.lexicon, coalesce(h.hits, 0) as hits, round(case when d.words > 0 then coalesce(h.hits, 0) * 1000e0 / d.words else 0 end, 6) as per_1000
+  from (select doc_id, len(u) as words, lexicon from tokens, (select distinct lexicon from terms) l) d
+  left join (select doc_id, lexicon, count(*) as hits from (select doc_id, unnest(u) as term from tokens) t join terms using (term) group by 1, 2) h using (doc_id, lexicon)""",
+    tokens="select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as u from documents",
+    terms="select distinct lang as lexicon, regexp_extract(lower(text), '^[^\\p{L}\\p{N}]*([\\p{L}\\p{N}]+)', 1) as term from documents where regexp_matches(text, '[\\p{L}\\p{N}]')"))
+def q_lexicon_table(spark, sf):
+    """Density of every language's table of words that documents begin with, in all documents."""
+    docs = wh.read(spark, sf, "documents")
+    terms = docs.select(F.col("lang").alias("lexicon"), F.regexp_extract(F.lower("text"), OPENERS, 1).alias("term"))
+    return lexicons.lexicon_density(docs, ["doc_id"], "text", terms).withColumn("per_1000", F.round("per_1000", 6))
+
+
 @query("balance_score", sql([], f"""select doc_id, round(case when p + n > 0 then p / (1e0 * (p + n)) else 0.5e0 end, 6) as score
   from (select doc_id, {n_hits('t', LEXICONS['hedging'])} as p, {n_hits('t', LEXICONS['definitive'])} as n from docs) x""", **NORM))
 def q_balance(spark, sf):
