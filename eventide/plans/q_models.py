@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from eventide.definitions import KNOWN_FEATURES, SCORING_GRID_EARNINGS, SCORING_GRID_FILINGS
-from eventide.operators import evaluation, explanation, information, signals, solvers, trees, walkforward, zoo
+from eventide.operators import evaluation, explanation, information, neighbours, signals, solvers, trees, walkforward, zoo
 from eventide.operators.moments import moment_blocks, sum_products
 from eventide.operators.ordering import POSITION
 from eventide.operators.scoring import rank_scores, score_events
@@ -237,6 +237,40 @@ def q_mi(spark, sf):
     return signals.rounded(information.mutual_information(data, FEATS, RETS), 6)
 
 
+def _psi(n: str) -> str:
+    big = f"greatest({n}, 6)"
+    series = f"ln({big}) - 1 / (2e0 * {big}) - 1 / (12e0 * {big} ** 2) + 1 / (120e0 * {big} ** 4) - 1 / (252e0 * {big} ** 6) + 1 / (240e0 * {big} ** 8)"
+    return "(" + series + "".join(f" - case when {n} <= {m} then 1 / {m}e0 else 0 end" for m in range(1, 6)) + ")"
+
+
+def _standard(table: dict[str, str], name: str) -> str:
+    scaled = lambda c: f"cast(round({c} * round({neighbours.UNITS} / nullif((select stddev_pop({c}) from dataset), 0))) as bigint)"
+    return " union all ".join(f"select symbol, quarter, year, '{n}' as {name}, {scaled(c)} as v from dataset where {c} is not null" for n, c in table.items())
+
+
+@query("mutual_information_neighbours", sql(
+    ["dataset"], f"""
+  select feature, horizon, n, round(greatest({_psi('n')} + {_psi('3')} - a - b, 0), 6) + 0 as mi from (
+    select feature, horizon, count(*) as n, avg({_psi('nx')}) as a, avg({_psi('ny')}) as b from (
+      select p.feature, p.horizon, p.id, count(case when abs(p.x - q.x) <= greatest(p.r - 1, 0) then 1 end) as nx, count(case when abs(p.y - q.y) <= greatest(p.r - 1, 0) then 1 end) as ny
+      from radius p join pairs q using (feature, horizon) group by p.feature, p.horizon, p.id) c group by feature, horizon) d""",
+    fx=_standard(FEATS, "feature"), hy=_standard({"5D": RETS["5D"]}, "horizon"),
+    pairs="select feature, horizon, f.v as x, h.v as y, row_number() over () as id from fx f join hy h using (symbol, quarter, year)",
+    radius="""select p.feature, p.horizon, p.id, any_value(p.x) as x, any_value(p.y) as y, min(greatest(abs(p.x - q.x), abs(p.y - q.y)), 4)[4] as r
+      from pairs p join pairs q using (feature, horizon) group by p.feature, p.horizon, p.id"""))
+def q_mi_neighbours(spark, sf):
+    """Nearest-neighbour mutual information of every feature and the five-day return."""
+    data = stage(wh.dataset(spark, sf).select(*FEATS.values(), RETS["5D"]), "dataset")
+    return signals.rounded(neighbours.neighbour_information(data, FEATS, {"5D": RETS["5D"]}), 6)
+
+
+@query("mutual_information_neighbours_all")
+def q_mi_neighbours_all(spark, sf):
+    """Nearest-neighbour mutual information of every feature and horizon."""
+    data = stage(wh.dataset(spark, sf).select(*FEATS.values(), *RETS.values()), "dataset")
+    return signals.rounded(neighbours.neighbour_information(data, FEATS, RETS), 6)
+
+
 @query("explain_features", scored_sql(
     " union all ".join(f"select '{f}' as feature, round(avg(abs({PART[f]})), 6) as mean_abs from dataset, sc" for f in LIVE)))
 def q_explain(spark, sf):
