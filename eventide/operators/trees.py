@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators.zoo import MIN_ROWS_TREES, Design
 from eventide.operators.ordering import POSITION
+from eventide.operators.search import adaptive_search
 from eventide.session import stage
 
 # Forest and boosting settings per source.
@@ -171,12 +172,17 @@ def random_settings(trials: int, space: dict = SEARCH, seed: int = 42) -> list[d
     return draws
 
 
-def param_search(design: Design, trials: int = 50, space: dict = SEARCH, seed: int = 42) -> list[tuple]:
-    """Random search over boosting settings; each trial's settings and mean CV R²."""
-    settings = random_settings(trials, space, seed)
-    scores = cross_validate_all(assembled(design), [boosted(**p) for p in settings], design.folds)
+def param_search(design: Design, trials: int = 50, space: dict = SEARCH, seed: int = 42, adaptive: bool = True) -> list[tuple]:
+    """Search over boosting settings, adaptive or at random; each trial's settings and mean CV R². Batches are fitted side by side."""
+    vectors = assembled(design)
+
+    def score_all(settings: list[dict]) -> list[float]:
+        return [mean for mean, _ in cross_validate_all(vectors, [boosted(**p) for p in settings], design.folds)]
+
+    first = lambda n: random_settings(n, space, seed)
+    found = adaptive_search(score_all, space, trials, first, seed) if adaptive else list(zip(first(trials), score_all(first(trials))))
     out = []
-    for i, (params, (mean, _)) in enumerate(zip(settings, scores), 1):
+    for i, (params, mean) in enumerate(found, 1):
         out += [(f"trial {i}", "setting", k, float(v)) for k, v in params.items()]
         out.append((f"trial {i}", "metric", "r2_cv_mean", mean))
     return out
