@@ -40,7 +40,7 @@ SEARCH = {"maxIter": (100, 500), "maxDepth": (2, 6), "stepSize": (0.01, 0.2), "s
 
 
 #: Tree fits are chains of small Spark jobs, which leave a cluster idle one by one: so many of them run at a time.
-CONCURRENT = 6
+CONCURRENT = 12
 #: Rows per task of a fit: each level of each tree is a job, so tasks should have work.
 TASK_ROWS = 50_000
 

@@ -369,14 +369,28 @@ def q_lookback(spark, sf):
         *KEY, "event_date", "upgrades_last_30d", "major_downgrades_last_30d")
 
 
-@query("join_actuals", sql(["filings"], """
+ACTUALS_SQL = """
   select ticker, filingDate, round(sentimentScore * 10, 4) as predicted, actual30dReturn as actual_return, spxReturn30d as index_return,
-    round(actual30dReturn - spxReturn30d, 4) as actual_alpha from filings"""))
-def q_actuals(spark, sf):
+    round(actual30dReturn - spxReturn30d, 4) as actual_alpha from filings"""
+
+
+def _predictions_and_actuals(spark, sf):
     f = stage(wh.filings(spark, sf).select("ticker", "filingDate", "sentimentScore", "actual30dReturn", "spxReturn30d"), "filings")
     predictions = f.select("ticker", "filingDate", F.round(F.col("sentimentScore") * 10, 4).alias("predicted"))
-    actuals = f.select("ticker", "filingDate", F.col("actual30dReturn").alias("actual_return"), F.col("spxReturn30d").alias("index_return"))
-    return joins.join_actuals(predictions, actuals, ["ticker", "filingDate"])
+    return predictions, f.select("ticker", "filingDate", F.col("actual30dReturn").alias("actual_return"), F.col("spxReturn30d").alias("index_return"))
+
+
+@query("join_actuals", sql(["filings"], ACTUALS_SQL))
+def q_actuals(spark, sf):
+    return joins.join_actuals(*_predictions_and_actuals(spark, sf), ["ticker", "filingDate"])
+
+
+@query("join_actuals_matured", sql(["filings"], ACTUALS_SQL + " where cast(filingDate as date) + 35 <= (select max(cast(filingDate as date)) from filings)"))
+def q_actuals_matured(spark, sf):
+    """Predictions that were made 35 days before the newest filing or earlier."""
+    predictions, actuals = _predictions_and_actuals(spark, sf)
+    newest = predictions.agg(F.max(F.col("filingDate").cast("date"))).first()[0]
+    return joins.join_actuals(predictions, actuals, ["ticker", "filingDate"], "filingDate", newest)
 
 
 @query("price_ratios", sql(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from eventide.plans.q_scoring import LIVE, PART, hand_model, model_data, scored_
 from eventide.plans.q_signals import (FEATS, FILING_FEATS, FILING_TARGETS, PVALUE, RANKED, RETS, STAT_COLS, ic_sql,
                                       long_sql, pairs_sql, rounded_sql, stats_sql)
 from eventide.plans.registry import query
-from eventide.session import stage
+from eventide.session import new_path, stage
+from eventide.sources import files
 from eventide.sources import warehouse as wh
 
 KEY = ["symbol", "quarter", "year"]
@@ -188,14 +191,6 @@ def q_variants(spark, sf):
     return zoo.zoo_frame(spark, {"5D": trees.boosted_variants(design(spark, sf))})
 
 
-@query("boosted_rounds")
-def q_rounds(spark, sf):
-    """The number of rounds of the first default setting with the best CV R², of all up to 300, from one fit per fold."""
-    d = design(spark, sf)
-    rounds, (mean, std) = trees.best_rounds(trees.assembled(d), trees.boosted(**next(iter(trees.VARIANTS.values()))), d.folds)
-    return spark.createDataFrame([(rounds, mean, std)], "rounds int, r2_cv_mean double, r2_cv_std double")
-
-
 @query("param_search")
 def q_search(spark, sf):
     space = {**trees.SEARCH, "maxIter": (3, 8), "maxDepth": (2, 3)}
@@ -279,15 +274,14 @@ def q_explain(spark, sf):
 
 
 def _explained_model(spark, sf):
-    """A boosted model of the first default setting at full size, fitted on all rows, with its design."""
+    """A forest of 200 trees, fitted on all rows, with its design."""
     d = design(spark, sf)
-    model = trees.boosted(**next(iter(trees.VARIANTS.values()))).fit(trees.assembled(d))
-    return d, explanation.explainer(model, spark)
+    return d, explanation.explainer(trees.forest().fit(trees.assembled(d)), spark)
 
 
 @query("explain_trees")
 def q_explain_trees(spark, sf):
-    """Features by mean absolute Shapley contribution to a boosted model's predictions."""
+    """Features by mean absolute Shapley contribution to a forest's predictions."""
     d, found = _explained_model(spark, sf)
     return signals.rounded(explanation.feature_ranking(d.rows, d.features, d.columns, found), 6)
 
@@ -332,10 +326,8 @@ def q_wf_trees(spark, sf):
     return walkforward.walk_forward_estimator(d, _fit_trees(d, make), ORDER)
 
 
-@query("promote_walk_forward")
-def q_promote_walk_forward(spark, sf):
-    """The model with the best walk-forward Sharpe of ridge, refitted every ten rows, and forests, and both models' metrics."""
-    d = design(spark, sf)
+def walked_models(d):
+    """Walk-forward metrics of ridge, refitted every ten rows, and forests; the one with the best Sharpe is promoted."""
     ridge = walkforward.walk_forward_ridge(d, ORDER).select(F.lit("Ridge").alias("model"), "predicted", "actual")
     forest = walkforward.walk_forward_estimator(d, _fit_trees(d, trees.forest), ORDER).select(F.lit("Random Forest").alias("model"), "predicted", "actual")
     table = stage(evaluation.regression_metrics(stage(ridge.unionByName(forest), "walked"), ["model"]), "metrics")
@@ -343,6 +335,26 @@ def q_promote_walk_forward(spark, sf):
     return signals.rounded(table.join(best, "model", "left").withColumn("promoted", F.coalesce("promoted", F.lit(False))))
 
 
+@query("promote_walk_forward")
+def q_promote_walk_forward(spark, sf):
+    """Metrics of the models over all rows from the 51st on, and which of them is promoted."""
+    return walked_models(design(spark, sf))
+
+
+@query("experiment_record")
+def q_experiment_record(spark, sf):
+    """CV comparison, walk-forward metrics, promoted model and contributions of one experiment, appended as a record and read back."""
+    d = design(spark, sf)
+    forest = trees.random_forest(d)
+    comparison = zoo.zoo_models(zoo.zoo_frame(spark, {"5D": zoo.linear_zoo(d) + forest})).drop("horizon")
+    explained = explanation.explainer(trees.forest().fit(trees.assembled(d)), spark)
+    importance = signals.rounded(explanation.feature_ranking(d.rows, d.features, d.columns, explained)).select("feature", "mean_abs")
+    record = stage(files.experiment_record(TARGET, 0, comparison, walked_models(d), importance), "record")
+    path = new_path(spark, "experiments")
+    files.append_experiment(record, path, dt.datetime(2025, 1, 1))
+    return spark.read.schema(record.schema).json(path)
+
+
 RULES = ["mgmt_hedging", "analyst_skepticism", "pricing_power"]
 RULES_SQL = " union all ".join(
     f"select '{f}' as model, feat_{f} - 0.5e0 as predicted, return_5D as actual from dataset where feat_{f} is not null and return_5D is not null" for f in RULES)

@@ -81,6 +81,29 @@ def append_experiment(record: DataFrame, path: str, when: dt.datetime) -> None:
     write_json(stamped, f"{path}_{when:%Y%m%d_%H%M%S}")
 
 
+def experiment_record(target: str, trials: int, comparison: DataFrame, walked: DataFrame, importance: DataFrame) -> DataFrame:
+    """One row of an experiment: models by CV R², walk-forward metrics per model, the promoted one, and feature importance.
+
+    ``comparison`` (model, cv_r2), ``walked`` (model, n, r2, dir_acc, sharpe, promoted) and ``importance`` (feature, mean_abs)
+    have a row per model or feature.
+    """
+    packed = lambda df, name, order, *columns: df.agg(
+        F.array_sort(F.collect_list(F.struct(order.alias("place"), F.struct(*columns).alias("row")))).alias(name)
+    ).select(F.transform(name, lambda x: x["row"]).alias(name))
+    metrics = [F.col(c) for c in ("r2", "dir_acc", "sharpe")]
+    best = walked.where("promoted").agg(F.first(F.struct("model", *metrics)).alias("best_model"), F.max("n").alias("n_predictions"))
+    parts = [
+        packed(comparison, "cv_comparison", F.struct(-F.col("cv_r2"), F.col("model")), "model", "cv_r2"),
+        packed(walked, "walk_forward", F.struct(F.col("model")), "model", *metrics),
+        packed(importance, "importance", F.struct(-F.col("mean_abs"), F.col("feature")), "feature", "mean_abs"),
+        best,
+    ]
+    row = comparison.sparkSession.range(1).select(F.lit(target).alias("target"), F.lit(trials).alias("n_trials"), F.lit(0).alias("_one"))
+    for part in parts:  # one row each
+        row = row.join(part.withColumn("_one", F.lit(0)), "_one")
+    return row.drop("_one")
+
+
 def snapshot(spark: SparkSession, table_path: str, when: dt.datetime) -> str:
     """Copy of a table under a time-stamped path, taken before it is rebuilt."""
     backup = f"{table_path}_backup_{when:%Y%m%d_%H%M%S}"

@@ -74,3 +74,23 @@ def test_scores_matching_ignores_unknown_values(spark):
     df = spark.createDataFrame([("LONG", "high"), ("SHORT", "low"), ("NEUTRAL", "low")], "signal string, confidence string")
     count = lambda **kw: scoring.scores_matching(df, **kw).count()
     assert (count(), count(signal="long"), count(confidence="LOW"), count(signal="short", confidence="low"), count(signal="up"), count(confidence="")) == (3, 1, 2, 1, 3, 3)
+
+
+def test_experiment_record_holds_models_and_winner(spark, tmp_path):
+    import datetime as dt
+
+    from eventide.sources import files
+
+    comparison = spark.createDataFrame([("OLS", -0.2), ("Lasso", 0.1), ("Ridge", 0.1)], "model string, cv_r2 double")
+    walked = spark.createDataFrame([("Ridge", 9, 0.1, 0.5, 1.5, True), ("Forest", 9, 0.2, 0.6, 1.0, False)], "model string, n bigint, r2 double, dir_acc double, sharpe double, promoted boolean")
+    importance = spark.createDataFrame([("a", 0.1), ("b", 0.4)], "feature string, mean_abs double")
+    record = files.experiment_record("y", 50, comparison, walked, importance)
+    path = str(tmp_path / "experiments")
+    for day in (1, 2):
+        files.append_experiment(record, path, dt.datetime(2025, 1, day))
+    got = spark.read.schema(record.schema).json(path).collect()
+    assert len(got) == 2 and got[0] == got[1]
+    r = got[0]
+    assert [m["model"] for m in r["cv_comparison"]] == ["Lasso", "Ridge", "OLS"] and [m["model"] for m in r["walk_forward"]] == ["Forest", "Ridge"]
+    assert (r["target"], r["n_trials"], r["best_model"]["model"], r["best_model"]["sharpe"], r["n_predictions"]) == ("y", 50, "Ridge", 1.5, 9)
+    assert [tuple(i) for i in r["importance"]] == [("b", 0.4), ("a", 0.1)]
