@@ -114,6 +114,42 @@ def test_license_rules_and_suppression():
     assert licenses.detect(licenses.words_of("the committee met")) == []
 
 
+ORDINARY = [
+    "This article was published by Ruby on Monday.", "A tool provided by PHP developers", "research published by MIT researchers", "available under common public pressure",
+    "Most of it is covered by Python.", "The data are available by open database queries", "distributed by Apache helicopters", "a license to drive in ruby shoes is no licence of the isc kind",
+    "released by Mozilla public relations", "provided under academic free will", "published under open software skies", "covered by boost software teams", "the zlib library is available by mail",
+]
+
+
+def test_license_names_in_ordinary_sentences():
+    assert [licenses.scan_text(t)["labels"] for t in ORDINARY] == [""] * len(ORDINARY)
+    named = ["licensed under the Ruby license", "provided under PHP 3.01", "published under the MIT", "available under Common Public License 1.0", "covered by the Python Software Foundation License"]
+    assert [licenses.scan_text(t)["labels"] for t in named] == ["ruby", "php", "mit", "cpl", "python"]
+
+
+def test_license_signatures_are_written_and_found():
+    assert len(licenses.TEXTS) > 100 and len({x for *_, x in licenses.TEXTS}) == len(licenses.TEXTS)
+    headers = {"THE SOFTWARE IS PROVIDED; Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+               "Redistribution... Redistributions in binary form must reproduce the above copyright notice": "bsd",
+               "This library is free software; you can redistribute it and/or modify it": "lgpl", "If a copy of the MPL was not distributed with this file, You can obtain one at": "mpl",
+               "You just DO WHAT THE FUCK YOU WANT TO.": "wtfpl", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software": "unlicense",
+               "Use of this software is governed by the Business Source License": "busl", "This Font Software is licensed under the SIL Open Font License": "ofl"}
+    for text, label in headers.items():
+        assert label in licenses.scan_text(text)["labels"].split(","), text
+
+
+def test_license_suppression_equals_all_pairs_and_takes_repeats():
+    r = random.Random(9)
+    for _ in range(300):
+        found = [licenses.Found(r.choice("ab"), f := r.randrange(30), f + r.randrange(8), r.randrange(1, 5), 0.5) for _ in range(r.randrange(0, 25))]
+        kept = []
+        for x in sorted(found, key=lambda x: (x.priority, x.first - x.last, x.first, x.label)):
+            if not any(y.first <= x.first and x.last <= y.last for y in kept):
+                kept.append(x)
+        assert licenses.suppressed(found) == sorted(kept, key=lambda x: (x.first, x.last))
+    assert licenses.scan_text("mit license then " * 20_000)["labels"] == "mit"
+
+
 def test_license_filter_drops_no_detection():
     texts = ["available under the MIT", "published under Apache 2.0", "covered by the GNU General Public", "scripts.sil.org/OFL", "eclipse.org/legal/epl", "eupl.eu",
              "mariadb.com/bsl", "GNU Library General Public License", "Creative Commons Zero license", "do what the fuck you want to public license", "zlib.net/zlib_license"]
