@@ -13,7 +13,7 @@ sentence counts by its strongest word, and a document by its strongest sentence.
 per letter triple, which is all that scoring needs. A logistic curve, fitted on
 sample documents that the machine didn't see, turns the strongest word's margin into the score.
 
-The sample that the driver fits on is bounded: ``SAMPLE`` documents of each label of at most ``SAMPLE_CHARS`` characters,
+The sample that one task fits on, so that the driver only gets the weights, is bounded: ``SAMPLE`` documents of each label of at most ``SAMPLE_CHARS`` characters,
 taken by hash from labelled rows that training may use. Every document is scored over its whole text.
 
 Cases: null and empty texts get the lowest score; without labels of both classes every score is 0; conflicting labels of
@@ -276,9 +276,18 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     there = known.join(texts.select("key").distinct(), "key", "left_semi")
     by_hash = [F.xxhash64("key"), F.col("key")]
     ids = there.where(F.col("label") == 1).orderBy(*by_hash).limit(sample).unionByName(there.where(F.col("label") == 0).orderBy(*by_hash).limit(sample))
-    rows = texts.join(F.broadcast(ids), "key").groupBy("key", "label").agg(F.min("text").alias("text")).collect()  # at most 2 * sample rows
-    rows.sort(key=lambda r: (-r["label"], str(r["key"])))
-    return fit([r["text"] for r in rows], [r["label"] for r in rows])
+    rows = texts.join(F.broadcast(ids), "key").groupBy("key", "label").agg(F.min("text").alias("text"))  # at most 2 * sample rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [r for batch in batches for r in batch.to_pylist()]
+        known.sort(key=lambda r: (-r["label"], str(r["key"])))
+        model = fit([r["text"] for r in known], [r["label"] for r in known])
+        if model:
+            numbers = [pa.array([float(x)]) for x in model[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *numbers], names=["weights", "bias", "slope", "shift"])
+
+    found = rows.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").collect()
+    return Model(np.frombuffer(bytes(found[0]["weights"]), np.float32), *found[0][1:]) if found else None
 
 
 class _Known(dict):
