@@ -2,7 +2,10 @@
 
 import datetime as dt
 
+import numpy as np
+
 from eventide.operators import views
+from eventide.operators.returns import price_window
 
 D = dt.date
 
@@ -13,3 +16,17 @@ def test_dataset_metadata_lists_every_company(spark):
     assert tuple(got) == (3, ["a", "b"], "2024-01-01", "2024-03-01")
     none = views.dataset_metadata(spark.createDataFrame([], "symbol string, day string"), "symbol", "day").first()
     assert tuple(none) == (0, [], None, None)
+
+
+def test_price_window_meets_bars_by_slots_not_by_days(spark):
+    rng = np.random.default_rng(8)
+    days = [D(2024, 1, 1) + dt.timedelta(i) for i in range(150)]
+    bars = [(s, d, float(i)) for s in "ab" for i, d in enumerate(days) if rng.random() < 0.6]
+    events = [(s, int(k), days[int(k)]) for s in "abc" for k in rng.integers(0, 150, 25)]
+    ev = spark.createDataFrame(events, "symbol string, k int, event_date date")
+    for after in (0, 30):
+        got = price_window(ev, spark.createDataFrame(bars, "symbol string, date date, close double"), after)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "strategy=merge" in plan
+        want = [(s, d, k, e, c) for s, k, e in events for t, d, c in bars if s == t and e - dt.timedelta(5) <= d < e + dt.timedelta(after + 10)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
