@@ -6,6 +6,7 @@ import numpy as np
 
 from eventide.operators import views
 from eventide.operators.returns import price_window
+from eventide.plans import q_io
 
 D = dt.date
 
@@ -30,3 +31,18 @@ def test_price_window_meets_bars_by_slots_not_by_days(spark):
         assert "sequence(" not in plan and "strategy=merge" in plan
         want = [(s, d, k, e, c) for s, k, e in events for t, d, c in bars if s == t and e - dt.timedelta(5) <= d < e + dt.timedelta(after + 10)]
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_sink_experiments_works_its_input_out_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rows = spark.createDataFrame([(float(i), None, 1.0, 2.0) for i in range(7)], "return_1D double, return_5D double, return_10D double, return_21D double")
+    monkeypatch.setattr(q_io.wh, "dataset", lambda *_: rows.mapInPandas(watched, rows.schema))
+    got = sorted(map(tuple, q_io.q_sink_experiments(spark, "").collect()))
+    assert got == sorted((h, n, run) for run in (1, 2) for h, n in (("1D", 7), ("5D", 0), ("10D", 7), ("21D", 7)))
+    assert seen.value == 7
