@@ -3,8 +3,9 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
-from eventide.operators import views
+from eventide.operators import neighbours, views
 from eventide.operators.returns import price_window
 from eventide.plans import q_io
 
@@ -46,3 +47,39 @@ def test_sink_experiments_works_its_input_out_once(spark, monkeypatch):
     got = sorted(map(tuple, q_io.q_sink_experiments(spark, "").collect()))
     assert got == sorted((h, n, run) for run in (1, 2) for h, n in (("1D", 7), ("5D", 0), ("10D", 7), ("21D", 7)))
     assert seen.value == 7
+
+
+def all_distances(qx, qy, x, y, k):
+    d = np.sort(np.maximum(np.abs(qx[:, None] - x), np.abs(qy[:, None] - y)), axis=1)[:, :k]
+    return np.pad(d, ((0, 0), (0, k - d.shape[1])), constant_values=neighbours._FAR)
+
+
+@pytest.mark.parametrize("chunk", [50, 2_000_000])
+def test_nearest_and_reached_strips_against_all(monkeypatch, chunk):
+    monkeypatch.setattr(neighbours, "_CHUNK", chunk)
+    rng = np.random.default_rng(11)
+    draw = [lambda n: rng.integers(-10**6, 10**6, n), lambda n: rng.integers(0, 4, n) * 1000, lambda n: np.zeros(n, np.int64),
+            lambda n: np.where(rng.random(n) < 0.5, 7, rng.integers(-50, 50, n)), lambda n: (rng.standard_cauchy(n) * 1e6).astype(np.int64)]
+    for a in draw:
+        for b in draw:
+            for n, m in ((300, 40), (2, 5), (0, 3)):
+                x, y, qx, qy = a(n), b(n), a(m), b(m)
+                assert (neighbours._nearest(qx, qy, x, y, 4) == all_distances(qx, qy, x, y, 4)).all()
+            x, y = a(400), b(400)
+            order = np.lexsort((y, x))
+            x, y = x[order], y[order]
+            box = np.array([(s, x[i].min(), x[i].max(), y[i].min(), y[i].max()) for s in range(5, 15) for i in [slice((s - 5) * 40, (s - 4) * 40)]])
+            px, py = x[120:160], y[120:160]
+            reach = all_distances(px, py, px, py, 4)[:, -1]
+            got = list(zip(*(v.tolist() for v in neighbours._reached(box, px, py, reach, 8))))
+            assert got == [(i, s) for i, (u, v, r) in enumerate(zip(px, py, reach)) for s, c, d, e, f in box.tolist()
+                           if s != 8 and c < u + r and d > u - r and e < v + r and f > v - r]
+
+
+def test_nearest_looks_at_few_of_the_rows(monkeypatch):
+    rng, n, looked, plain = np.random.default_rng(12), 20_000, [], np.maximum
+    monkeypatch.setattr(np, "maximum", lambda *a, **o: (lambda d: (looked.append(d.size), d)[1])(plain(*a, **o)))
+    for x in (rng.integers(-10**9, 10**9, n), rng.integers(0, 5, n) * 10**6, rng.integers(0, 100, n)):
+        for y in (rng.integers(-10**9, 10**9, n), rng.integers(0, 100, n)):
+            neighbours._nearest(x, y, x, y, 4)
+    assert sum(looked) < 6 * 500 * n  # all distances: 6 * n * n
