@@ -50,6 +50,13 @@ def test_forward_returns_match_brute_force(spark):
                 assert got[k][f"return_{h}"] == (None if v is None else pytest.approx(v, abs=1e-9))
 
 
+def test_forward_returns_order_bars_once_while_narrow(spark):
+    ev = spark.createDataFrame([("A", D(2024, 1, 2))], "symbol string, event_date date")
+    found = forward_returns(ev, bars_frame(spark, [("A", D(2024, 1, i), 1.0 * i) for i in range(1, 28)]), 30)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and found.count() == 1
+
+
 def test_asof_and_lookback_match_brute_force(spark):
     rng = np.random.default_rng(6)
     day = lambda: D(2024, 1, 1) + dt.timedelta(int(rng.integers(0, 90)))

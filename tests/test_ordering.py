@@ -77,6 +77,18 @@ def test_spearman_ignores_monotone_transforms(spark):
     assert abs(r[0] - r[1]) < 1e-12
 
 
+def test_spearman_is_the_same_with_ranks_sent_or_fetched(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.integers(0, 7)) if rng.random() < 0.8 else None, float(rng.normal()), None if rng.random() < 0.1 else float(rng.integers(0, 90))) for _ in range(400)]
+    df = rankcorr.with_row_id(spark.createDataFrame(rows, "a double, b double, c double"))
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    found = []
+    for most in (0, 150, 100_000):  # all columns travel, only b does, none does
+        monkeypatch.setattr(rankcorr, "MAX_BROADCAST_RANKS", most)
+        found.append({(r["left"], r["right"]): (r["n"], round(r["r"], 12)) for r in rankcorr.pairwise_spearman(df, pairs).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 3
+
+
 def test_pvalues():
     assert abs(incomplete_beta(2.0, 3.0, 0.4) - 0.5248) < 1e-12
     assert abs(correlation_pvalue(0.5, 20) - 0.0247695) < 1e-6
