@@ -126,6 +126,17 @@ def test_trees_find_the_driver(design):
     assert trees.random_settings(3) == trees.random_settings(3)
 
 
+def test_forest_in_small_passes_is_the_same(design, monkeypatch):
+    whole = trees.forest(30)
+    monkeypatch.setattr(trees, "TASK_ROWS", design.n - 1)
+    parts = trees.forest(30, rows=design.n)
+    assert parts.getMaxMemoryInMB() == trees.PASS_MB < whole.getMaxMemoryInMB()
+    vectors = trees.assembled(design).coalesce(1)
+    one, other = whole.fit(vectors), parts.setMaxMemoryInMB(1).fit(vectors)
+    np.testing.assert_allclose(one.featureImportances.toArray(), other.featureImportances.toArray(), atol=1e-12)
+    assert [t.numNodes for t in one.trees] == [t.numNodes for t in other.trees]
+
+
 def make_model():
     cuts = {"p10": -2.0, "p25": -1.0, "p50": 0.0, "p75": 1.0, "p90": 2.0}
     return scoring.ScoringModel(["a", "b", "c"], {"a": 0.5, "b": -0.25, "c": 0.0}, 0.1, {"a": 1.0, "b": 2.0, "c": 0.0},
