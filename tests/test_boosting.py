@@ -74,3 +74,15 @@ def test_passes_do_not_grow_with_fits(spark, design):
 def test_walk_forward_without_rows_to_predict(spark):
     small = zoo.prepare(data(spark, 40, 1), {f: f for f in FEATURES}, "y", ["day"])
     assert walkforward.walk_forward_boosted(small, {"maxIter": 2}, ["day"]).count() == 0
+
+
+def test_variants_have_r2_of_their_folds(design, monkeypatch):
+    # nodes have rows enough that no two splits are equally good
+    whole = {name: p | {"subsamplingRate": 1.0, "maxIter": 6, "minInstancesPerNode": 25 - 5 * (name[0] == "C")} for name, p in trees.VARIANTS.items()}
+    monkeypatch.setattr(trees, "VARIANTS", whole)
+    found = {(r[0], r[2]): r[3] for r in trees.boosted_variants(design)}
+    vectors = trees.assembled(design)
+    want = {name: trees.cross_validate(vectors, trees.boosted(**whole[name]), design.folds) for name in list(whole)[1:]}
+    assert len(found) == 6 and found["XGBoost (default)", "r2_cv_mean"] == found["LightGBM (default)", "r2_cv_mean"]
+    for name, r2 in want.items():
+        assert (found[name, "r2_cv_mean"], found[name, "r2_cv_std"]) == pytest.approx(r2, abs=1e-9)
