@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import process_memory, slices
+from eventide.llm.batches import map_texts, process_memory, slices
 
 #: Bytes of text that a task works on at a time (a longer text is worked on alone, and whole).
 SLICE_BYTES = 4_000_000
@@ -34,6 +34,8 @@ SLICE_BYTES = 4_000_000
 KNOWN_WORDS = 500_000
 #: Byte rows that one recursive query starts from (a longer word is worked on alone).
 QUERY_ROWS = 300_000
+#: Ids that one query decodes (those of a longer text are decoded alone).
+DECODE_IDS = 250_000
 #: Words of more bytes take the query for long words.
 SHORT = 40
 
@@ -233,6 +235,15 @@ class Coder:
         return [raw[4 * a : 4 * b] for a, b in zip(last[:-1].tolist(), last[1:].tolist())]
 
     def decode(self, encoded: list[bytes]) -> list[bytes]:
+        out, start, size = [], 0, 0
+        for i, ids in enumerate(encoded):
+            if i > start and size + len(ids) > 4 * DECODE_IDS:
+                out += self._decode(encoded[start:i])
+                start, size = i, 0
+            size += len(ids)
+        return out + self._decode(encoded[start:])
+
+    def _decode(self, encoded: list[bytes]) -> list[bytes]:
         counts = np.array([len(e) // 4 for e in encoded])
         out = [b""] * len(encoded)
         if counts.sum():
@@ -263,7 +274,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str, key: str = "doc_
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["key", "ids"])
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    coded = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary")
+    coded = map_texts(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary")
     return coded.select(F.col("key").alias(key), "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
 
@@ -280,7 +291,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids: str = "ids")
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*names, "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", decoded binary"
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def encode_and_decode(documents: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,7 +306,7 @@ def encode_and_decode(documents: DataFrame, vocabulary: str, pattern: str, key:
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "ids", "decoded"])
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    coded = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary, decoded binary")
+    coded = map_texts(rows, run, f"key {rows.schema['key'].dataType.simpleString()}, ids binary, decoded binary")
     return coded.select(F.col("key").alias(key), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from eventide.llm.batches import slices
+from eventide.llm.batches import map_texts, slices
 
 EDITS = 0.1
 BLOCK_BYTES, MIN_BYTES = 4_000_000, 16
@@ -219,7 +219,7 @@ def occurrences(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     schema = f"key {kinds[0]}, item {kinds[1]}, first_char bigint, end_char bigint, edits bigint, similarity double"
     out = documents.sparkSession.createDataFrame([], schema)
     for index in blocks(benchmark, item, item_text):
-        out = out.unionByName(rows.mapInArrow(_finder(index, to_arrow_type(benchmark.schema[item].dataType)), schema))
+        out = out.unionByName(map_texts(rows, _finder(index, to_arrow_type(benchmark.schema[item].dataType)), schema))
     return out.withColumnsRenamed({"key": key, "item": item})
 
 
@@ -249,5 +249,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text: str = "text"
                 bad = {f[0] for f in search(part.column(at).to_pylist(), index)}
                 yield part.filter(pa.array([i not in bad for i in range(part.num_rows)]))
 
-        documents = documents.mapInArrow(run, documents.schema)
+        documents = map_texts(documents, run, documents.schema)
     return documents

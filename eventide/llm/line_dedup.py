@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import free_name, slices
+from eventide.llm.batches import free_name, map_texts, slices
 from eventide.llm.ngram_join import _mix, _powers, small, word_hashes
 from eventide.session import release, stage
 
@@ -166,7 +166,7 @@ def hashed_words(documents: DataFrame, key: str, text: str) -> DataFrame:
         F.col(key).alias("key"), digest(F.col(text)).alias("digest"), F.col(text).cast("string").alias("text")
     )
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, digest binary, n int, words array<int>, lines array<int>, item array<bigint>, " + ", ".join(f"{c} array<int>" for c in _PRINTS[1:]))
+    return map_texts(rows, run, f"key {kind}, digest binary, n int, words array<int>, lines array<int>, item array<bigint>, " + ", ".join(f"{c} array<int>" for c in _PRINTS[1:]))
 
 
 def digest(text: Column) -> Column:
@@ -278,7 +278,7 @@ def _runs(hashed: DataFrame, later: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken.columns, *new, mark, first], names=[*pair, *_PLACES, "mark", "at"])
 
     kind = hashed.schema["key"].dataType.simpleString()
-    out = stage(pairs.mapInArrow(run, f"key {kind}, digest binary, source_key {kind}, source_digest binary, " + ", ".join(f"{c} int" for c in _PLACES) + ", mark bigint, at int"), "found")
+    out = stage(map_texts(pairs, run, f"key {kind}, digest binary, source_key {kind}, source_digest binary, " + ", ".join(f"{c} int" for c in _PLACES) + ", mark bigint, at int"), "found")
     release(seeds, keys)
     return out
 
@@ -339,7 +339,7 @@ def dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", drop_em
                 out = out.filter(pa.array([r is None or bool(t.strip()) for t, r in zip(left, gone)]))
             yield out
 
-    return joined.select(*columns, cuts).mapInArrow(run, documents.schema)
+    return map_texts(joined.select(*columns, cuts), run, documents.schema)
 
 
 def without(text: str, runs: list[dict]) -> str:

@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.batches import process_memory, slices
+from eventide.llm.batches import map_texts, process_memory, slices
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 KNOWN_WORDS = 300_000
+#: Words whose margins are worked out at a time.
+MARGIN_WORDS = 20_000
 SPAN, DECAY = 8, 0.5
 SAMPLE, SAMPLE_CHARS = 1_500, 20_000
 LANDMARKS, NEGATIVES, ROUNDS, PENALTY = 192, 24_000, 4, 1e-3
@@ -122,6 +124,8 @@ class Model(NamedTuple):
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of every word, at least ``lowest()``."""
+        if len(words) > MARGIN_WORDS:
+            return np.concatenate([self.margins(words[i : i + MARGIN_WORDS]) for i in range(0, len(words), MARGIN_WORDS)])
         floor = self.lowest()
         out = np.full(len(words), floor)
         codes, word = _flat(words)
@@ -286,7 +290,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
             numbers = [pa.array([float(x)]) for x in model[1:]]
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), *numbers], names=["weights", "bias", "slope", "shift"])
 
-    found = rows.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").collect()
+    found = map_texts(rows.repartition(1), run, "weights binary, bias double, slope double, shift double").collect()
     return Model(np.frombuffer(bytes(found[0]["weights"]), np.float32), *found[0][1:]) if found else None
 
 
@@ -317,14 +321,14 @@ def score(documents: DataFrame, model: Model | None, key: str = "doc_id", text:
     """Columns: the key, ``held_out``, ``score`` and ``predicted``."""
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    scored = rows.mapInArrow(_scorer(model, 1, lambda part, values: pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64())], names=["key", "score"])), f"key {kind}, score double")
+    scored = map_texts(rows, _scorer(model, 1, lambda part, values: pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64())], names=["key", "score"])), f"key {kind}, score double")
     return scored.select(F.col("key").alias(key), held_out(F.col("key")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def remove_toxic(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``documents`` without the rows whose score reaches the threshold; nothing is shuffled."""
     at = documents.columns.index(text)
-    return documents.mapInArrow(_scorer(model, at, lambda part, values: part.filter(pa.array(values < THRESHOLD))), documents.schema)
+    return map_texts(documents, _scorer(model, at, lambda part, values: part.filter(pa.array(values < THRESHOLD))), documents.schema)
 
 
 def _scorer(model: Model | None, at: int, use):
