@@ -5,8 +5,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from eventide.operators import neighbours, views
-from eventide.operators.returns import price_window
+from eventide.operators import joins, neighbours, views
+from eventide.operators.returns import forward_returns, price_window
 from eventide.plans import q_io
 
 D = dt.date
@@ -34,6 +34,17 @@ def test_price_window_meets_bars_by_slots_not_by_days(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_events_are_not_broadcast_for_the_size_of_their_source(spark):
+    """Many quarters of few suppliers look as small as the suppliers; a broadcast of all events went through the driver."""
+    days = [D(2024, 1, 1) + dt.timedelta(i) for i in range(60)]
+    bars = spark.createDataFrame([(s, d, 1.0 + i) for s in "ab" for i, d in enumerate(days)], "symbol string, date date, close double")
+    events = spark.createDataFrame([("a",), ("c",)], "symbol string").crossJoin(spark.createDataFrame([(d,) for d in days[10:15]], "event_date date"))
+    for found in (forward_returns(events, bars, horizons={"1D": 1}), joins.asof_forward(events, bars, 3)):
+        plan = found._jdf.queryExecution()
+        assert "strategy=merge" in plan.optimizedPlan().toString() and "SortMergeJoin" in plan.sparkPlan().toString()
+        assert sorted(r["event_date"] for r in found.collect()) == days[10:15]
+
+
 def test_sink_experiments_works_its_input_out_once(spark, monkeypatch):
     seen = spark.sparkContext.accumulator(0)
 
