@@ -261,6 +261,19 @@ def test_url_scores_equal_brute_force(spark):
     assert got["abc"] > 0 > got["dee"]
 
 
+def test_url_places_and_counts_are_merged_not_broadcast(spark):
+    """Places, n-grams and urls looked as small as the files they come from, so all places went through the driver; and each is shuffled once."""
+    labelled = spark.createDataFrame([("abc/d", True), ("cde-", False)], "text string, allowed boolean")
+    asked = spark.createDataFrame([(1, "abc"), (2, "aaaaaaaa"), (3, "")], "id long, text string")
+    model = url_model.train(labelled)
+    by_id = url_model.score(asked, *model, "id")
+    plan = by_id._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 3
+    assert "keys=[id#" in plan and "keys=[id#" not in plan.split("SortMergeJoin", 1)[1]  # no counting before the join
+    by_text = {r.text: r.score for r in url_model.score(asked, *model).collect()}
+    assert {r.id: r.score for r in by_id.collect()} == {i: by_text[t] for i, t in [(1, "abc"), (2, "aaaaaaaa"), (3, "")]}
+
+
 def test_url_threshold_separates(spark):
     scored = spark.createDataFrame([(0.4 + i / 100, True) for i in range(20)] + [(-0.6 + i / 100, False) for i in range(20)], "score double, allowed boolean")
     assert -0.4 < url_model.calibrate(scored) < 0.4
